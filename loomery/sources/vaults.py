@@ -24,10 +24,21 @@ class MissingInput(FileNotFoundError):
 
 def _texts(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """path, text of whole files, through Spark's reader only."""
-    reader = spark.read.option("wholetext", "true")
+    reader = spark.read.format("text").option("wholetext", "true")
     for k, v in options.items():
         reader = reader.option(k, v)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return reader.load(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
+def _hidden(spark: SparkSession, path: str) -> str:
+    """The text of one small file whose name Spark's readers pass over, by the Hadoop file system of its path."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).open(target)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def read_graphs(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
@@ -44,7 +55,7 @@ def read_vault(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     try:
         files = _texts(spark, f"{base}/pages", recursiveFileLookup="true", pathGlobFilter="*.md")
         graph = _texts(spark, f"{base}/graph.json").select(F.from_json("text", GRAPH).alias("g"))
-        schema = _texts(spark, f"{base}/_schema.json").select("text")
+        schema = spark.createDataFrame([(_hidden(spark, f"{base}/_schema.json"),)], "text string")
     except Exception as e:
         raise MissingInput(f"{base} has no pages, graph.json or _schema.json") from e
     try:
