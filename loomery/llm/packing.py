@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomery.llm.encode import Encoder
+from loomery.llm.encode import encoder
 from loomery.llm.shared import written
 
 CAPACITY = 1024
@@ -90,10 +90,10 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
-        encoder, seen, part = Encoder(tokenizer), Counter(), TaskContext.get().partitionId()
-        for batch in batches:
+        encode, seen, part = encoder(tokenizer).ids, Counter(), TaskContext.get().partitionId()
+        for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
             rows, columns = [], [[] for _ in range(6)]
-            for row, ids in enumerate(encoder.ids(batch.column(1).to_pylist())):
+            for row, ids in enumerate(encode(batch.column(1).to_pylist())):
                 view = memoryview(ids + end)
                 for piece, (start, length) in enumerate(cut(len(view) // 4, capacity)):
                     rows.append(row)
