@@ -67,8 +67,7 @@ def slug_url(url: Column) -> Column:
 
 
 def slug_tikz(label: Column, n: Column) -> Column:
-    s = F.regexp_replace(F.regexp_replace(F.coalesce(label, F.lit("")), "[^A-Za-z0-9_-]+", "-"), "^-+|-+$", "")
-    return if_blank(s, F.concat(F.lit("tikz_"), F.lpad(n.cast("string"), 3, "0")))
+    return slug_tex(F.coalesce(label, F.lit("")), F.concat(F.lit("tikz_"), F.lpad(n.cast("string"), 3, "0")))
 
 
 def slug_title(title: Column) -> Column:

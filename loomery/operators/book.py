@@ -38,7 +38,7 @@ def folio_samples(pages: DataFrame) -> DataFrame:
     end = F.greatest(F.col("n") - 2, start + 1)
     step = F.greatest(F.floor((end - start) / 20), F.lit(1))
     at = F.col("page_num") - 1
-    taken = pages.join(F.broadcast(size.select("book", start.alias("lo"), end.alias("hi"), step.alias("step"))), "book").where((at >= F.col("lo")) & (at < F.col("hi")) & ((at - F.col("lo")) % F.col("step") == 0))
+    taken = pages.join(size.select("book", start.alias("lo"), end.alias("hi"), step.alias("step")), "book").where((at >= F.col("lo")) & (at < F.col("hi")) & ((at - F.col("lo")) % F.col("step") == 0))
     return taken.select("book", F.col("page_num").alias("physical"), t.read_folio(F.col("text")).alias("folio")).where("folio is not null").withColumn("delta", F.col("physical") - F.col("folio"))
 
 

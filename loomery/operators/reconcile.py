@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -103,15 +103,29 @@ def connections_report(nodes: DataFrame, edges: DataFrame, root: tuple[DataFrame
     return "\n".join(lines)
 
 
+def _deletions(x: Column, depth: int) -> Column:
+    """The text and all texts with up to `depth` letters left out."""
+    out = F.array(x)
+    for _ in range(depth):
+        one = F.flatten(F.transform(out, lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))))
+        out = F.array_distinct(F.concat(out, one))
+    return out
+
+
 def synonym_candidates(nodes: DataFrame, edges: DataFrame, distance: int = 2, overlap: float = 0.5) -> DataFrame:
-    """a, b, reason: concepts of different slugs and corpora with nearly equal titles, or with shared edge targets.
+    """a, b, reason: concepts of different slugs and corpora with titles of up to `distance` (1 or 2) edits, or with shared edge targets.
 
-    Titles are compared within blocks of their first letters and near lengths, targets by shared neighbours; both are equi-joins.
+    Distinct titles that are so near share a text with up to `distance` letters left out: they meet by such texts, and the edit
+    distance is verified. Targets meet by shared neighbours. Both are equi-joins.
     """
     concept = nodes.where("type = 'concept'").select("corpus", "slug", F.lower(F.coalesce("title", "slug")).alias("title"))
+    titles = concept.select("title").distinct()
+    keys = titles.select("title", F.explode(_deletions(F.col("title"), distance)).alias("k"))
+    met = keys.select(F.col("title").alias("ta"), "k").join(keys.select(F.col("title").alias("tb"), "k"), "k").select("ta", "tb").distinct()
+    alike_titles = met.where(F.levenshtein("ta", "tb") <= distance)
     name = F.concat("corpus", F.lit("/"), "slug")
-    side = lambda s: concept.select(name.alias(s), F.col("corpus").alias(f"c{s}"), F.col("slug").alias(f"s{s}"), F.col("title").alias(f"t{s}"), F.substring("title", 1, 3).alias("block"), F.length("title").alias(f"l{s}"))
-    near = side("a").join(side("b"), "block").where((F.col("ca") < F.col("cb")) & (F.col("sa") != F.col("sb")) & (F.abs(F.col("la") - F.col("lb")) <= distance)).where(F.levenshtein("ta", "tb") <= distance)
+    side = lambda s: concept.select(name.alias(s), F.col("corpus").alias(f"c{s}"), F.col("slug").alias(f"s{s}"), F.col("title").alias(f"t{s}"))
+    near = alike_titles.join(side("a"), "ta").join(side("b"), "tb").where((F.col("ca") < F.col("cb")) & (F.col("sa") != F.col("sb")))
     out = edges.groupBy("corpus", F.col("from").alias("slug")).agg(F.collect_set("to").alias("targets")).join(concept, ["corpus", "slug"], "left_semi").withColumn("n", F.size("targets"))
     long = out.select("corpus", "slug", "n", F.explode("targets").alias("t"))
     shared = long.toDF("ca", "sa", "na", "t").join(long.toDF("cb", "sb", "nb", "t"), "t").where("ca < cb and sa != sb").groupBy("ca", "sa", "na", "cb", "sb", "nb").agg(F.count("*").alias("k"))

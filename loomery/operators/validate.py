@@ -73,7 +73,7 @@ def edge_issues(pages: DataFrame, edges: DataFrame, predicates: DataFrame) -> Da
     c = F.col
     kinds = pages.select("slug", F.coalesce(c("fm")["type"], F.lit("none")).alias("kind"))
     ends = edges.select("seq", "predicate", F.stack(F.lit(2), F.lit("from"), c("from"), F.lit("to"), c("to")).alias("end", "slug")).withColumn("slug", F.coalesce("slug", F.lit("")))
-    joined = ends.join(kinds, "slug", "left").join(F.broadcast(predicates.select(c("name").alias("predicate"), "from_type", "to_type", F.lit(True).alias("known"))), "predicate", "left")
+    joined = ends.join(kinds, "slug", "left").join(predicates.select(c("name").alias("predicate"), "from_type", "to_type", F.lit(True).alias("known")), "predicate", "left")
     blank = F.coalesce(c("predicate"), F.lit("")) == ""
     want = F.when(c("end") == "from", c("from_type")).otherwise(c("to_type"))
     wrong = c("known") & c("kind").isNotNull() & (F.coalesce(want, F.lit("*")) != "*") & (want != "") & ~((want == "paper") & is_paper_like(c("kind"))) & (c("kind") != want)

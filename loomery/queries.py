@@ -310,12 +310,12 @@ def merge_predicates(spark, sf_dir):
     return merge.merge_predicates(more, own).select("name", "from_type", "to_type")
 
 
-UPSERT = GRAPH.replace("\nnodes", "with nodes", 1) + ", fresh as (select f, t, p, 'new' as context, seq from sedges where p = 'defines' and cast(substr(f, 8) as bigint) % 7 = 0)\n"
+UPSERT = GRAPH.replace("\nnodes", "with nodes", 1) + ", fresh as (select f, t, p, 'new' as context, seq from sedges where p = 'defines')\n"
 
 
 @query(UPSERT + 'select f as "from", t as "to", p as predicate, context, seq from edges where f not in (select f from fresh) union all select * from fresh')
 def upsert_outgoing(spark, sf_dir):
-    fresh = d.source_edges(spark, sf_dir).where("predicate = 'defines' and cast(substr(`from`, 8) as bigint) % 7 = 0").withColumn("context", F.lit("new"))
+    fresh = d.source_edges(spark, sf_dir).where("predicate = 'defines'").withColumn("context", F.lit("new"))
     return merge.replace_outgoing(d.edges(spark, sf_dir), fresh)
 
 
@@ -329,16 +329,15 @@ def strongest_predicate(spark, sf_dir):
     return merge.strongest_predicate(d.edges(spark, sf_dir), ["defines", "introduces", "discusses"])
 
 
-@query("""with c as (select r_name as corpus, 'n' || n_nationkey as slug, lower(n_name) as title from nation join region on n_regionkey = r_regionkey)
-select a.corpus || '/' || a.slug as a, b.corpus || '/' || b.slug as b, 'title' as reason from c a join c b on left(a.title, 3) = left(b.title, 3) and a.corpus < b.corpus and a.slug <> b.slug
-where abs(length(a.title) - length(b.title)) <= 5 and levenshtein(a.title, b.title) <= 5""")
+@query("""with c as (select case when p_partkey % 2 = 0 then 'even' else 'odd' end as corpus, 'c' || p_partkey as slug, lower(p_brand || ' ' || p_partkey) as title from part)
+select a.corpus || '/' || a.slug as a, b.corpus || '/' || b.slug as b, 'title' as reason from c a join c b on a.corpus < b.corpus and a.slug <> b.slug where levenshtein(a.title, b.title) <= 1""")
 def synonym_candidates(spark, sf_dir):
-    nodes = d.table(spark, sf_dir, "nation").join(F.broadcast(d.table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("corpus"), F.concat(F.lit("n"), "n_nationkey").alias("slug"), F.col("n_name").alias("title"), F.lit("concept").alias("type"))
+    nodes = d.table(spark, sf_dir, "part").select(F.when(F.col("p_partkey") % 2 == 0, "even").otherwise("odd").alias("corpus"), F.concat(F.lit("c"), "p_partkey").alias("slug"), F.concat("p_brand", F.lit(" "), "p_partkey").alias("title"), F.lit("concept").alias("type"))
     none = spark.createDataFrame([], "corpus string, `from` string, `to` string")
-    return reconcile.synonym_candidates(nodes, none, distance=5)
+    return reconcile.synonym_candidates(nodes, none, distance=1)
 
 
-PROMOTE = GRAPH.replace("\nnodes", "with nodes", 1) + """, pairs as (select 'concept-' || p_partkey as a, 'concept-' || (p_partkey + 1) as b from part where p_partkey % 20 = 1),
+PROMOTE = GRAPH.replace("\nnodes", "with nodes", 1) + """, pairs as (select 'concept-' || p_partkey as a, 'concept-' || (p_partkey + 1) as b from part where p_partkey % 2 = 1),
 deg as (select slug, count(*) as n from (select f as slug from edges union all select t from edges) group by slug),
 names as (select case when coalesce(x.n, 0) > coalesce(y.n, 0) or (coalesce(x.n, 0) = coalesce(y.n, 0) and a <= b) then b else a end as old,
                  case when coalesce(x.n, 0) > coalesce(y.n, 0) or (coalesce(x.n, 0) = coalesce(y.n, 0) and a <= b) then a else b end as new from pairs left join deg x on x.slug = a left join deg y on y.slug = b),
@@ -348,7 +347,7 @@ select f as "from", t as "to", p as predicate, context, seq from (select *, row_
 
 @query(PROMOTE)
 def promote_synonyms(spark, sf_dir):
-    pairs = d.table(spark, sf_dir, "part").where("p_partkey % 20 = 1").select(F.concat(F.lit("concept-"), "p_partkey").alias("a"), F.concat(F.lit("concept-"), F.col("p_partkey") + 1).alias("b"))
+    pairs = d.table(spark, sf_dir, "part").where("p_partkey % 2 = 1").select(F.concat(F.lit("concept-"), "p_partkey").alias("a"), F.concat(F.lit("concept-"), F.col("p_partkey") + 1).alias("b"))
     return merge.promote(d.nodes(spark, sf_dir), d.edges(spark, sf_dir), pairs)[1]
 
 
@@ -556,12 +555,12 @@ def slugify_variants(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", t.slug_clip(s).alias("clip"), t.slug_book(s).alias("book"), t.slug_tex(s, "part").alias("tex"))
 
 
-@query("""select p_partkey, lpad(cast(p_partkey % 10000 as varchar), 4, '0') || '.' || lpad(cast(p_partkey as varchar), 5, '0') as arxiv_id, case when p_size % 2 = 0 then cast(p_size as varchar) end as version, lpad(cast(p_partkey as varchar), 11, 'a') as youtube_id from part where p_partkey < 100000""")
+@query("""select p_partkey, lpad(cast(p_partkey % 10000 as varchar), 4, '0') || '.' || lpad(cast(p_partkey as varchar), 5, '0') as arxiv_id, case when p_size % 2 = 0 then cast(p_size as varchar) end as version, lpad(cast(p_partkey as varchar), 11, 'a') as youtube_id from part""")
 def id_parsing(spark, sf_dir):
     number = F.concat(F.lpad((F.col("p_partkey") % 10000).cast("string"), 4, "0"), F.lit("."), F.lpad(F.col("p_partkey").cast("string"), 5, "0"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("v"), F.col("p_size").cast("string"))).otherwise(""))
     raw = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("arXiv:"), number)).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("https://arxiv.org/pdf/"), number, F.lit(".pdf"))).otherwise(number)
     video = F.concat(F.when(F.col("p_partkey") % 2 == 0, "https://youtu.be/").otherwise("https://www.youtube.com/watch?v="), F.lpad(F.col("p_partkey").cast("string"), 11, "a"), F.lit("&t=1"))
-    return d.table(spark, sf_dir, "part").where("p_partkey < 100000").select("p_partkey", t.arxiv_id(raw).alias("arxiv_id"), t.arxiv_version(raw).alias("version"), t.youtube_id(video).alias("youtube_id"))
+    return d.table(spark, sf_dir, "part").select("p_partkey", t.arxiv_id(raw).alias("arxiv_id"), t.arxiv_version(raw).alias("version"), t.youtube_id(video).alias("youtube_id"))
 
 
 @query("""with c as (select distinct l_orderkey as b, l_linenumber as n from lineitem where l_quantity > 20), r as (select *, n - row_number() over (partition by b order by n) as run from c)
