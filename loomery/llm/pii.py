@@ -8,6 +8,8 @@ table: two entities never share one, and none equals an entity that occurs; whoe
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,22 +29,29 @@ SYLLABLES = {"latin": "bar den fol gar hol kel lan mor nor pel ris sol tan vel w
 ATTEMPTS = 40
 
 _NAMES = "|".join(n for names in GIVEN.values() for n in names)
+_TITLED = rf"(?:{'|'.join(TITLES)})\.?\s"
 _KEYS = r"password|passwd|pwd|token|secret|api[_\-]?key"
-_PATTERN = "|".join(
+# no entity begins within a word: nearly all places fail at the first look
+_PATTERN = r"(?<![\p{L}\p{N}])(?=[\p{L}\d(+._%\-])(?:" + "|".join(
     [
-        r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)+",
-        rf"(?<![A-Za-z0-9])(?i:{_KEYS})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?[A-Za-z0-9_\-/+.]{{6,}}",
-        r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
-        r"(?<![\w+])\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)",
-        r"(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
-        r"(?<![\d\-])\d{3}-\d{3}-\d{4}(?![\d\-])",
-        r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-        r"(?<![\w.])[3-6]\d{3}([ \-]?)\d{4}\1\d{4}\1\d{1,7}(?!\d)",
-        r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-        r"(?<![A-Za-z0-9])(?=[A-Za-z]*\d)[0-9a-fA-F]{16,}(?![A-Za-z0-9])",
-        rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{_NAMES})(?=\s\p{{Lu}}\p{{Ll}})|(?<=(?<!\p{{L}})(?:{_NAMES}|(?:{'|'.join(TITLES)})\.?)\s)\p{{Lu}}\p{{Ll}}++)",
+        r"(?<![._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)+",
+        r"(?=[\d(+])(?:" + "|".join(
+            [
+                r"(?<!\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
+                r"(?<![\w+])\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}(?!\d)",
+                r"(?<!\()\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
+                r"(?<!-)\d{3}-\d{3}-\d{4}(?![\d\-])",
+                r"(?<!-)\d{3}-\d{2}-\d{4}(?![\d\-])",
+                r"(?<![.\w])[3-6]\d{3}([ \-]?)\d{4}\1\d{4}\1\d{1,7}(?!\d)",
+            ]
+        ) + ")",
+        rf"(?i:{_KEYS})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?[A-Za-z0-9_\-/+.]{{6,}}",
+        r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+        r"(?=[A-Za-z]*\d)[0-9a-fA-F]{16,}(?![A-Za-z0-9])",
+        rf"(?=[A-ZА-Я])(?:{_TITLED}(?:(?:{_NAMES})\s)?|(?:{_NAMES})\s)\p{{Lu}}\p{{Ll}}++",
     ]
-)
+) + ")"
+_NAME = rf"^({_TITLED})?(?:({_NAMES})(\s))?(\p{{Lu}}\p{{Ll}}+)$"
 
 
 def _in(value: Column, names: list[str]) -> Column:
@@ -54,7 +63,7 @@ def kind_of(entity: Column) -> Column:
     return (
         F.when(entity.contains("@"), "email").when(entity.rlike(rf"^(?i:{_KEYS})[\"']?\s*[:=]"), "secret").when(entity.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip")
         .when(entity.rlike(r"^[+(]|^\d{3}-\d{3}-\d{4}$"), "phone").when(entity.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(entity.rlike(r"^[\d \-]+$"), "card")
-        .when(entity.rlike("^[0-9a-fA-F]{16,}$"), "secret").when(entity.rlike(r"^[A-Z]{2}\d{2}"), "iban").otherwise(F.coalesce(names, F.when(entity.rlike(r"\p{IsCyrillic}"), F.when(entity.rlike("(а|я)$"), "surname f cyrillic").otherwise("surname m cyrillic")).otherwise("surname - latin")))
+        .when(entity.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9 ]{11,38}$"), "iban").when(entity.rlike("^[0-9a-fA-F]{16,}$"), "secret").otherwise(F.coalesce(names, F.when(entity.rlike(r"\p{IsCyrillic}"), F.when(entity.rlike("(а|я)$"), "surname f cyrillic").otherwise("surname m cyrillic")).otherwise("surname - latin")))
     )
 
 
@@ -147,12 +156,28 @@ def _rendered(entity: Column, kind: Column, value: Column, new: Column) -> Colum
     return F.concat(F.substring(entity, F.lit(1), F.length(entity) - F.length(value)), body)
 
 
+def _mention(lead: Column, entity: Column) -> Column:
+    kind = kind_of(entity)
+    value = _value(entity, kind)
+    return F.struct(lead.alias("lead"), entity.alias("entity"), kind.alias("kind"), value.alias("value"), _normal(value, kind).alias("normal"))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _mentions(match: Column) -> Column:
+    """A match's mentions: a title stays, a given name and a surname are two entities, anything else is one."""
+    part = lambda k: F.regexp_extract(match, _NAME, k)
+    given = F.when(part(2) != "", _mention(part(1), part(2)))
+    surname = _mention(F.when(part(2) != "", part(3)).otherwise(part(1)), part(4))
+    return F.when(match.rlike(_NAME), F.array_compact(F.array(given, surname))).otherwise(F.array(_mention(F.lit(""), match)))
+
+
 def entities(text: Column) -> Column:
-    """An array of (entity, kind, value, normal), in the order of the text; empty for null."""
-    found = F.coalesce(F.regexp_extract_all(text, F.lit(_PATTERN), F.lit(0)), F.array().cast("array<string>"))
-    kinds = F.transform(found, lambda e: F.struct(e.alias("entity"), kind_of(e).alias("kind")))
-    valued = F.transform(kinds, lambda x: F.struct(x["entity"].alias("entity"), x["kind"].alias("kind"), _value(x["entity"], x["kind"]).alias("value")))
-    return F.transform(valued, lambda x: F.struct(x["entity"].alias("entity"), x["kind"].alias("kind"), x["value"].alias("value"), _normal(x["value"], x["kind"]).alias("normal")))
+    """For each match, in the order of the text, its mentions (lead, entity, kind, value, normal); empty for null."""
+    return F.transform(F.coalesce(F.regexp_extract_all(text, F.lit(_PATTERN), F.lit(0)), F.array().cast("array<string>")), _mentions)
 
 
 def assign(found: DataFrame, key: str, attempts: int = ATTEMPTS) -> DataFrame:
@@ -181,20 +206,28 @@ def replace_pii(docs: DataFrame, key: str, text: str = "text", doc_id: str = "do
     names = [c for c in docs.columns if c.lower() != "n_entities"]
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     body, own = (f"c{names.index(c)}" for c in (text, doc_id))
-    found = plain.select(F.explode(entities(F.col(body))).alias("e")).select("e.kind", "e.normal")
+    each = F.flatten(entities(F.col(body)))
+    found = plain.select(F.explode(each).alias("e")).select("e.kind", "e.normal")
     table = assign(found, key)
     moved = table.where("attempt > 0").select("kind", "normal", "attempt")
-    marked = plain.withColumn("es", entities(F.col(body)))
     if moved.limit(1).count() == 0:
         attempt = lambda x: F.lit(0)
     else:  # the rows with entities that hashed again get a map of theirs
-        marked = marked.withColumn("k", F.struct(F.xxhash64(own, body), F.xxhash64(F.lit(1), body, own)))
-        each = marked.select("k", F.explode(F.array_distinct(F.transform("es", lambda x: F.struct(x["kind"].alias("kind"), x["normal"].alias("normal"))))).alias("e")).select("k", "e.kind", "e.normal").distinct()
-        again = each.join(moved, ["kind", "normal"]).groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "normal"), "attempt"))).alias("m"))
-        marked = marked.join(again, "k", "left")
+        plain = plain.withColumn("k", F.struct(F.xxhash64(own, body), F.xxhash64(F.lit(1), body, own)))
+        names_of = plain.select("k", F.explode(each).alias("e")).select("k", "e.kind", "e.normal").distinct()
+        again = names_of.join(moved, ["kind", "normal"]).groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "normal"), "attempt"))).alias("m"))
+        plain = plain.join(again, "k", "left")
         attempt = lambda x: F.coalesce(F.try_element_at("m", F.concat_ws("|", x["kind"], x["normal"])), F.lit(0))
-    new = F.transform("es", lambda x: _rendered(x["entity"], x["kind"], x["value"], surrogate(x["kind"], x["normal"], attempt(x), key)))
-    gaps = F.split(F.col(body), _PATTERN)
-    joined = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get("new", i), F.lit("")))), "")
-    out = marked.withColumn("new", new).withColumn("joined", F.when(F.size("es") > 0, joined).otherwise(F.col(body)))
-    return out.select(*[F.col("joined" if c == text else f"c{i}").alias(c) for i, c in enumerate(names)], F.size("es").cast("long").alias("n_entities"))
+
+    def written_anew(x: Column) -> Column:
+        return _let(surrogate(x["kind"], x["normal"], attempt(x), key), lambda new: F.concat(x["lead"], _rendered(x["entity"], x["kind"], x["value"], new)))
+
+    def result(matches: Column) -> Column:
+        new = F.transform(matches, lambda m: F.array_join(F.transform(m, written_anew), ""))
+        joined = _let(new, lambda n: F.array_join(F.zip_with(F.split(F.col(body), _PATTERN), n, lambda g, e: F.concat(g, F.coalesce(e, F.lit("")))), ""))
+        return F.struct(F.when(F.size(matches) > 0, joined).otherwise(F.col(body)).alias("joined"), F.coalesce(F.aggregate(matches, F.lit(0), lambda a, m: a + F.size(m)), F.lit(0)).cast("long").alias("n_entities"))
+
+    # a generator makes its row once, whatever is taken from it
+    kept = [f"c{i}" for i, c in enumerate(names) if c != text]
+    out = plain.select(*kept, F.inline(F.transform(F.array(entities(F.col(body))), result)))
+    return out.select(*[F.col("joined" if c == text else f"c{i}").alias(c) for i, c in enumerate(names)], "n_entities")
