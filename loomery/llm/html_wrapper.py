@@ -38,6 +38,7 @@ _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins k
 #: Elements that are no part of an article's text.
 _CHROME = frozenset("nav footer aside form button head header menu dialog input option label fieldset script style".split())
 _CHROME_WORDS = re.compile(r"^(ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|sidebar\w*|side|cookies?|consent|gdpr|notices?|alert\w*|comments?|commentlist|respond|disqus\w*|repl(y|ies)|share|sharing|social|related|recommend\w*|menu\w*|nav\w*|breadcrumbs?|footer|header|masthead|newsletter|subscribe|subscription|popup|modal|overlay|widget\w*|toolbar|pagination|pager|legal|copyright|disclaimer|hidden|skip|toc|tags?|byline|meta|login|signup|search\w*)$", re.I)
+_HEADINGS = frozenset(("h1", "h2", "h3"))
 _SPLIT = re.compile(r"[^A-Za-z]+")
 _MAIN = re.compile(r"^(article|main)\b|[.#](article|post|content|entry|story|main|body)\b", re.I)
 
@@ -176,11 +177,30 @@ def _slot(a: list, b: list, repeated: bool = False) -> list:
     return a
 
 
+def _grouped(nodes: list[list], groups: dict[str, int]) -> list[list]:
+    """The nodes with each run that has a group's shape as a repeated group of its own. groups: sizes by shape."""
+    out, i = [], 0
+    marks = [signature(x) for x in nodes]
+    while i < len(nodes):
+        k = next((k for mark, k in groups.items() if marks[i] == mark[: len(marks[i])] and "".join(marks[i : i + k]) == mark), 0)
+        out.append(["+", nodes[i : i + k]] if k else nodes[i])
+        i += k or 1
+    return out
+
+
+def _groups(nodes: list[list]) -> dict[str, int]:
+    return {signature(x)[2:-1]: len(x[1]) for x in nodes if x[0] == "+" and len(x[1]) > 1}
+
+
 def aligned(a: list[list], b: list[list]) -> list[list]:
     """The wrapper of what both describe."""
     sa, sb = [signature(x) for x in a], [signature(x) for x in b]
     if sa == sb:
         return [_slot(x, y) for x, y in zip(a, b, strict=True)]
+    # what one repeats, the other may have once
+    ga, gb = _groups(a), _groups(b)
+    a, b = _grouped(a, gb) if gb else a, _grouped(b, ga) if ga else b
+    sa, sb = [signature(x) for x in a], [signature(x) for x in b]
     bare = lambda s: s[2:-1] if s[:2] in ("?(", "+(") else s
     ba, bb = [bare(s) for s in sa], [bare(s) for s in sb]
     out: list[list] = []
@@ -265,15 +285,17 @@ def extract(html: str | None, wrapper: Wrapper | None) -> str:
     for main in dict.fromkeys((wrapper.main if wrapper else None, "own", None)):
         if main == "own":
             main = Wrapper(folded(stream(html)), 1).main
-        text = _read(html, main, wrapper.fixed if wrapper else set())
-        if text:
-            return text
+        for fixed in (wrapper.fixed if wrapper else (), ()):  # where all is the template's, nothing is left out
+            text = _read(html, main, fixed)
+            if text:
+                return text
     return ""
 
 
-def _read(html: str, main: tuple[str, ...] | None, fixed: set[int]) -> str:
+def _read(html: str, main: tuple[str, ...] | None, fixed) -> str:
     blocks: list[str] = []
     parts: list[str] = []
+    heading = False
     drop: int | None = None  # the depth at which what is left out began
     inside: int | None = None if main else 0
     depth = len(main) if main else 0
@@ -281,7 +303,7 @@ def _read(html: str, main: tuple[str, ...] | None, fixed: set[int]) -> str:
     def flush() -> None:
         text = " ".join(entities.unescape("".join(parts)).split())
         parts.clear()
-        if text and not (fixed and _hash(text) in fixed):
+        if text and (not fixed or heading or _hash(text) not in fixed):
             blocks.append(text)
 
     for what, stack, value in walk(html):
@@ -290,10 +312,11 @@ def _read(html: str, main: tuple[str, ...] | None, fixed: set[int]) -> str:
             if inside is None and main and value == main[-1] and len([x for x in stack if x[1] not in _INLINE]) == depth and tuple(x[0] for x in stack if x[1] not in _INLINE) == main:
                 inside = len(stack)
                 continue
-            if drop is None and inside is not None and (stack[-1][2] or tag in _CHROME):
+            if drop is None and inside is not None and (stack[-1][2] or tag in _CHROME) and not (tag == "header" and main and not stack[-1][2]):
                 drop = len(stack)
             if inside is not None and tag not in _INLINE:
                 flush()
+            heading = tag in _HEADINGS if tag not in _INLINE else heading
             if tag == "br" and drop is None:
                 parts.append(" ")
         elif what == ">":
@@ -304,7 +327,10 @@ def _read(html: str, main: tuple[str, ...] | None, fixed: set[int]) -> str:
             if main and inside is not None and len(stack) < inside:
                 inside = None
         elif inside is not None and drop is None:
-            parts.append(value)
+            # of a header within the article only the headings count
+            tags = {x[1] for x in stack[inside:]} if main else ()
+            if "header" not in tags or tags & _HEADINGS:
+                parts.append(value)
     flush()
     return "\n".join(blocks)
 
