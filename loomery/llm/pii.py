@@ -115,29 +115,36 @@ def _name(kind: Column, h: Column, attempt: Column) -> Column:
 
 def surrogate(kind: Column, normal: Column, attempt: Column, key: str) -> Column:
     """The surrogate of a normal form, as a normal form."""
-    once = F.sha2(F.concat_ws("|", F.lit(key), kind, normal, attempt.cast("string")), 512)
-    h = F.concat(once, F.sha2(once, 512))
+    whole = lambda *parts: F.sha2(F.concat_ws("|", F.lit(key), *parts), 512)
+    doubled = lambda once, body: _let(once, lambda o: _let(F.concat(o, F.sha2(o, 512)), body))
     n = F.length(normal)
-    digits = lambda first, count: F.array_join(F.transform(F.sequence(F.lit(0), count - 1), lambda i: (_byte(h, i + first) % 10).cast("string")), "")
-    body = F.concat(F.substring(normal, 1, 1), digits(0, n - 2))
-    zero, was = (10 - _luhn(F.concat(body, F.lit("0")))) % 10, _luhn(normal)
-    domain = F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), F.substring_index(normal, "@", -1)), 512)
-    host = _shaped(F.substring_index(F.substring_index(normal, "@", -1), ".", 1), F.concat(domain, domain))
-    more = F.when(attempt < 8, F.lit("")).otherwise(F.concat(F.lit("."), F.substring(once, 100, 8)))
-    email = F.concat(_shaped(F.substring_index(normal, "@", 1), h), more, F.lit("@"), host, F.lit(".example."), F.get(F.array(F.lit("com"), F.lit("net"), F.lit("org")), F.conv(F.substring(domain, 1, 2), 16, 10).cast("int") % 3))
-    code = F.greatest(n - 10, F.lit(0))
-    hexed = F.substring(F.repeat(h, F.ceil(n / 256).cast("int")), F.lit(1), n)
-    return (
-        F.when(kind == "email", email)
-        .when(kind == "ip", F.concat_ws(".", (F.lit(11) + _byte(h, 0) % 116).cast("string"), _byte(h, 1).cast("string"), _byte(h, 2).cast("string"), (F.lit(1) + _byte(h, 3) % 254).cast("string")))
-        .when(kind == "phone", F.concat(F.substring(normal, F.lit(1), code), (F.lit(2) + _byte(h, 20) % 8).cast("string"), digits(0, n - code - 1)))
-        .when(kind == "ssn", F.concat(F.lit("9"), digits(0, n - 1)))
-        .when(kind == "card", F.concat(body, ((zero + was) % 10).cast("string")))
-        .when(kind == "iban", F.concat(F.substring(normal, 1, 2), _shaped(F.substring(normal, F.lit(3), n), h)))
-        .when((kind == "secret") & normal.rlike("^[0-9a-f]+$"), hexed)
-        .when(kind == "secret", _shaped(normal, h))
-        .otherwise(_name(kind, h, attempt))
-    )
+
+    def made(h: Column) -> Column:
+        digits = lambda first, count: F.array_join(F.transform(F.sequence(F.lit(0), count - 1), lambda i: (_byte(h, i + first) % 10).cast("string")), "")
+        code = F.greatest(n - 10, F.lit(0))
+        more = F.when(attempt < 8, F.lit("")).otherwise(F.concat(F.lit("."), F.substring(h, 100, 8)))
+
+        def host(d: Column) -> Column:
+            label = _shaped(F.substring_index(F.substring_index(normal, "@", -1), ".", 1), d)
+            return F.concat(label, F.lit(".example."), F.get(F.array(F.lit("com"), F.lit("net"), F.lit("org")), _byte(d, 0) % 3))
+
+        def checked(body: Column) -> Column:
+            zero = (10 - _luhn(F.concat(body, F.lit("0")))) % 10  # valid numbers stay valid, others as far off as they were
+            return F.concat(body, ((zero + _luhn(normal)) % 10).cast("string"))
+
+        return (
+            F.when(kind == "email", F.concat(_shaped(F.substring_index(normal, "@", 1), h), more, F.lit("@"), doubled(whole(F.lit("domain"), F.substring_index(normal, "@", -1)), host)))
+            .when(kind == "ip", F.concat_ws(".", (F.lit(11) + _byte(h, 0) % 116).cast("string"), _byte(h, 1).cast("string"), _byte(h, 2).cast("string"), (F.lit(1) + _byte(h, 3) % 254).cast("string")))
+            .when(kind == "phone", F.concat(F.substring(normal, F.lit(1), code), (F.lit(2) + _byte(h, 20) % 8).cast("string"), digits(0, n - code - 1)))
+            .when(kind == "ssn", F.concat(F.lit("9"), digits(0, n - 1)))
+            .when(kind == "card", _let(F.concat(F.substring(normal, 1, 1), digits(0, n - 2)), checked))
+            .when(kind == "iban", F.concat(F.substring(normal, 1, 2), _shaped(F.substring(normal, F.lit(3), n), h)))
+            .when((kind == "secret") & normal.rlike("^[0-9a-f]+$"), F.substring(F.repeat(h, F.ceil(n / 256).cast("int")), F.lit(1), n))
+            .when(kind == "secret", _shaped(normal, h))
+            .otherwise(_name(kind, h, attempt))
+        )
+
+    return doubled(whole(kind, normal, attempt.cast("string")), made)
 
 
 def _rendered(entity: Column, kind: Column, value: Column, new: Column) -> Column:
@@ -184,7 +191,8 @@ def assign(found: DataFrame, key: str, attempts: int = ATTEMPTS) -> DataFrame:
     """kind, normal, attempt, new for the distinct kind and normal of found: new is no other row's, and no row's normal, within the kind."""
     real = written(found.select("kind", "normal").distinct(), "entities")
     again = lambda df: df.withColumn("new", surrogate(F.col("kind"), F.col("normal"), F.col("attempt"), key))
-    now = written(again(real.withColumn("attempt", F.lit(0))), "surrogates")
+    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but work in each row
+    now = written(again(real.repartition(n, "kind", "normal").withColumn("attempt", F.lit(0))), "surrogates")
     for _ in range(attempts):
         owner = now.groupBy("kind", "new").agg(F.min(F.struct("attempt", "normal")).alias("o"), F.count("*").alias("n")).where("n > 1").select("kind", "new", F.col("o.normal").alias("owner"))
         clash = now.join(owner, ["kind", "new"]).where("normal != owner").select("kind", "normal")
