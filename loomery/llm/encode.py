@@ -30,7 +30,7 @@ _TAIL = ",.;:!?%&*$#|)"
 #: Words that each of the memo's two generations holds, letters of the longest one, and other chunks that are kept.
 MEMO, WORD, SIGNS = 200_000, 40, 30_000
 #: Marks of words that were seen once, less one.
-DOOR = (1 << 21) - 1
+DOOR = (1 << 20) - 1
 
 
 class Encoder:
@@ -81,27 +81,27 @@ class Encoder:
         return found
 
     def _word(self, word: str) -> bytes:
-        """The ids of a word that stands after a single space."""
+        """The ids of a word that stands after a single space; words of letters alone are kept."""
         found = self.words.get(word)
         if found is not None:
             return found
+        if not word.isalpha():
+            core = word.rstrip(_TAIL)
+            if core.isalpha():
+                tail = word[len(core) :]
+                return (self.words.get(core) or self._word(core)) + (self.signs.get(tail) or self._sign(tail))
+            return b"".join(map(self._sign, self.pattern.findall(word if self.bare else f" {word}")))
         found = self.old.get(word)
         if found is None:
-            if word.isalpha():
-                found = self._merged(word if self.bare else f" {word}")
-            else:
-                core = word.rstrip(_TAIL)
-                if core.isalpha():
-                    found = self._word(core) + self._sign(word[len(core) :])
-                else:
-                    found = b"".join(map(self._sign, self.pattern.findall(word if self.bare else f" {word}")))
+            found = self._merged(word if self.bare else f" {word}")
             door = hash(word) & DOOR  # a word is kept from the second time on: most occur once
             if not self.seen[door]:
                 self.seen[door] = 1
                 return found
-        if len(word) <= WORD and "\n" not in word:
+        if len(word) <= WORD:
             if len(self.words) >= self.most:
-                self.old, self.words, self.seen = self.words, {}, bytearray(DOOR + 1)
+                self.old, self.words = self.words, {}
+                self.seen[:] = bytes(DOOR + 1)
             self.words[word] = found
         return found
 
@@ -116,14 +116,14 @@ class Encoder:
                 return self._whole(text)
             words = words[1:]
         out = list(map(self.words.get, words))
-        at, find = -1, out.index
+        at, find, bare, ids = -1, out.index, self.bare, self._word
         try:
             while True:
                 at = find(None, at + 1)
                 word = words[at]
-                if not word or word[0].isspace() or word[-1].isspace():
+                if not bare and (not word or word[0].isspace() or word[-1].isspace()):
                     return self._whole(text)
-                out[at] = self._word(word)
+                out[at] = ids(word)
         except ValueError:  # no word is left
             return first + b"".join(out)
 

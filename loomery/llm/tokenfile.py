@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomery.llm.encode import Encoder
+from loomery.llm.encode import encoder
 
 END_ID = 1
 ROW_GROUP_BYTES = 16 << 20
@@ -35,11 +35,11 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
-        encoder, part, start = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encode, part, start = encoder(tokenizer).ids, TaskContext.get().partitionId(), 0
         for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                some = batch.slice(low, 1000)
-                ids = [x + end for x in encoder.ids(some.column(1).to_pylist())]
+            for low in range(0, batch.num_rows, 500):
+                some = batch.slice(low, 500)
+                ids = [x + end for x in encode(some.column(1).to_pylist())]
                 sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
                 ends = np.cumsum(sizes)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
@@ -47,7 +47,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
                 start += int(ends[-1])
 
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    writer = rows.mapInArrow(run, schema).write.option("compression", "zstd").option("parquet.writer.version", "v2").option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes)
+    writer = rows.mapInArrow(run, schema).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", 1).option("parquet.writer.version", "v2").option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes)
     for column in ("part", "doc_id", "local_start", "n_tokens"):
         writer = writer.option(f"parquet.enable.dictionary#{column}", "false")
     writer.parquet(path)
