@@ -150,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str
 
     got = sorted((r.id, bytes(r.ids), r.y) for r in map_text(own, [("ids", T.BinaryType())], make, "text", ["id", "y"]).select("id", "y", "ids").collect())
     model = FactorizationMachine()
-    model.learn([np.frombuffer(x, dtype=np.int32).astype(np.int64) for _, x, _ in got], [int(y > 0) for _, _, y in got])
+    model.learn([np.frombuffer(x, dtype=np.int32) for _, x, _ in got], [int(y > 0) for _, _, y in got])
     return model.packed()
 
 
