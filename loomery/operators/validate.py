@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,33 +28,47 @@ def _say(*parts):
 
 
 def page_issues(pages: DataFrame, source_docs: DataFrame) -> DataFrame:
-    """V02 and V04 to V12. Pages without frontmatter have no other issue here, those of unknown type none after it."""
-    stems = source_docs.select("stem").distinct()
+    """V02 and V04 to V12. Pages without frontmatter have no other issue here, those of unknown type none after it.
+
+    One pass over the pages gives all issues, those that depend on other files (V02, V09, V10) with the name to look up; one
+    join with the names that exist decides these.
+    """
     c = F.col
     kind = t.strip(F.coalesce(c("fm")["type"], F.lit("")))
-    known = pages.where("has_frontmatter").withColumn("kind", kind)
-    typed = known.where(c("kind").isin(*REQUIRED))
-    paper = is_paper_like(c("kind"))
+    paper, concept = is_paper_like(c("kind")), c("kind") == "concept"
+    typed = paper | concept
     required = F.when(paper, F.array(*[F.lit(x) for x in REQUIRED["paper"]])).otherwise(F.array(*[F.lit(x) for x in REQUIRED["concept"]]))
     empty = lambda f: F.coalesce(c("fm")[f] == "", F.lit(True)) | F.coalesce(F.size(c("fm_lists")[f]) == 0, F.lit(False))
-    missing = typed.select("slug", F.explode(F.filter(required, empty)).alias("field"))
     place = F.when(paper, "papers").otherwise("concepts")
-    doc = t.strip(F.coalesce(c("fm")["source_doc"], F.lit("")))
-    links = typed.select("slug", F.explode(t.wiki_links(c("body"))).alias("target"))
-    targets = pages.select(c("slug").alias("target")).union(stems.select("stem")).distinct()
-    docs = typed.select("slug", "kind", doc.alias("stem"))
-    return reduce(DataFrame.unionByName, [
-        _issue(pages.join(stems.withColumnRenamed("stem", "slug"), "slug", "left_semi"), "error", "V02", c("slug"), _say("source document has the name of page ", c("slug"))),
-        _issue(pages.where("not has_frontmatter"), "error", "V04", c("slug"), _say("no frontmatter")),
-        _issue(known.where(~c("kind").isin(*REQUIRED)), "error", "V05", c("slug"), _say("unknown type ", c("kind"))),
-        _issue(missing, "error", "V06", c("slug"), _say("frontmatter lacks ", c("field"))),
-        _issue(typed.where((c("fm")["slug"] != "") & (c("fm")["slug"] != c("slug"))), "error", "V07", c("slug"), _say("frontmatter slug is ", c("fm")["slug"])),
-        _issue(typed.where(c("subdir") != place), "error", "V08", c("slug"), _say("lies under ", c("subdir"), ", not ", place)),
-        _issue(links.join(targets, "target", "left_anti"), "error", "V09", c("slug"), _say("link to missing ", c("target"))),
-        _issue(docs.where("stem != ''").join(stems, "stem", "left_anti"), "error", "V10", c("slug"), _say("source document ", c("stem"), " is missing")),
-        _issue(docs.where((c("stem") == "") & paper), "warn", "V11", c("slug"), _say("no source document")),
-        _issue(typed.where(paper).select("slug", F.explode(t.image_embeds(c("body"))).alias("embed")), "error", "V12", c("slug"), _say("image on a source page: ", c("embed"))),
-    ])
+    none = F.array().cast("array<struct<rule:string,severity:string,name:string,message:string>>")
+
+    def issue(rule: str, message, severity: str = "error", name=None):
+        return F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), (F.lit(None) if name is None else name).cast("string").alias("name"), message.cast("string").alias("message"))
+
+    def each(condition, values, make):
+        return F.when(condition, F.transform(values, make)).otherwise(none)
+
+    def one(condition, made):
+        return F.when(condition, F.array(made)).otherwise(none)
+
+    found = F.concat(
+        F.array(issue("V02", _say("source document has the name of page ", c("slug")), name=c("slug"))),
+        one(~c("has_frontmatter"), issue("V04", _say("no frontmatter"))),
+        one(c("has_frontmatter") & ~typed, issue("V05", _say("unknown type ", c("kind")))),
+        each(c("has_frontmatter") & typed, F.filter(required, empty), lambda f: issue("V06", _say("frontmatter lacks ", f))),
+        one(c("has_frontmatter") & typed & (c("fm")["slug"] != "") & (c("fm")["slug"] != c("slug")), issue("V07", _say("frontmatter slug is ", c("fm")["slug"]))),
+        one(c("has_frontmatter") & typed & (c("subdir") != place), issue("V08", _say("lies under ", c("subdir"), ", not ", place))),
+        each(c("has_frontmatter") & typed, t.wiki_links(c("body")), lambda x: issue("V09", _say("link to missing ", x), name=x)),
+        one(c("has_frontmatter") & typed & (c("doc") != ""), issue("V10", _say("source document ", c("doc"), " is missing"), name=c("doc"))),
+        one(c("has_frontmatter") & paper & (c("doc") == ""), issue("V11", _say("no source document"), "warn")),
+        each(c("has_frontmatter") & paper, t.image_embeds(c("body")), lambda x: issue("V12", _say("image on a source page: ", x))),
+    )
+    rows = pages.withColumns({"kind": kind, "doc": t.strip(F.coalesce(c("fm")["source_doc"], F.lit("")))}).select("slug", F.explode(found).alias("i")).select("slug", "i.*")
+    names = pages.select(c("slug").alias("name"), F.lit(True).alias("page")).unionByName(source_docs.select(c("stem").alias("name"), F.lit(False).alias("page")))
+    exist = names.groupBy("name").agg(F.bool_or("page").alias("is_page"), F.bool_or(~c("page")).alias("is_doc"))
+    is_doc, any_ = F.coalesce(c("is_doc"), F.lit(False)), c("is_page").isNotNull()
+    holds = F.when(c("rule") == "V02", is_doc).when(c("rule") == "V09", ~any_).when(c("rule") == "V10", ~is_doc).otherwise(True)
+    return rows.join(exist, "name", "left").where(holds).select("severity", "rule", "slug", F.lit(None).cast("long").alias("edge_seq"), "message")
 
 
 def node_issues(pages: DataFrame, nodes: DataFrame) -> DataFrame:
