@@ -39,8 +39,8 @@ def carry_over(new_nodes: DataFrame, new_edges: DataFrame, old_nodes: DataFrame,
 
 
 def top_outgoing(edges: DataFrame, n: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by,) from, rank, label of the first n edges of each node: 'to (predicate): context', the context up to 100 characters."""
-    rank = F.row_number().over(Window.partitionBy(*by, "from").orderBy("seq"))
+    """(by,) from, rank, label of the first n edges of each node: 'to (predicate): context', the context up to 100 characters. Edges of one seq are in the order of their ends."""
+    rank = F.row_number().over(Window.partitionBy(*by, "from").orderBy("seq", "to", "predicate"))
     label = F.concat("to", F.lit(" ("), "predicate", F.lit("): "), F.substring(F.coalesce("context", F.lit("")), 1, 100))
     return edges.withColumn("rank", rank).where(F.col("rank") <= n).select(*by, "from", "rank", label.alias("label"))
 

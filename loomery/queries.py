@@ -224,7 +224,7 @@ se as (select * from ce where corpus = (select r_name from region where r_region
 """
 
 
-@query(GRAPH.replace("\nnodes", "with nodes", 1) + "select f as \"from\", cast(rank as bigint) as rank, label from (select f, row_number() over (partition by f order by seq, t) as rank, t || ' (' || p || '): ' || left(context, 100) as label from edges) where rank <= 3")
+@query(GRAPH.replace("\nnodes", "with nodes", 1) + "select f as \"from\", cast(rank as bigint) as rank, label from (select f, row_number() over (partition by f order by seq, t, p) as rank, t || ' (' || p || '): ' || left(context, 100) as label from edges) where rank <= 3")
 def top_outgoing(spark, sf_dir):
     return reconcile.top_outgoing(d.edges(spark, sf_dir)).select("from", F.col("rank").cast("long").alias("rank"), "label")
 
@@ -245,7 +245,7 @@ def root_nodes(spark, sf_dir):
     return reconcile.root_nodes(nodes, reconcile.confirmed_bridges(nodes))
 
 
-@query(CORPORA + """, o as (select corpus, f, row_number() over (partition by corpus, f order by seq, t) as r, t || ' (' || p || '): ' || left(context, 100) as label from ce)
+@query(CORPORA + """, o as (select corpus, f, row_number() over (partition by corpus, f order by seq, t, p) as r, t || ' (' || p || '): ' || left(context, 100) as label from ce)
 select cn.corpus, cn.slug, title, coalesce(string_agg(label, ' ; ' order by r), '') as top_edges from cn left join o on o.corpus = cn.corpus and o.f = cn.slug and r <= 3 where type = 'concept' group by cn.corpus, cn.slug, title""")
 def concept_inventory(spark, sf_dir):
     return reconcile.concept_inventory(d.corpus_nodes(spark, sf_dir), d.corpus_edges(spark, sf_dir)).select("corpus", "slug", "title", joined("top_edges", " ; "))
