@@ -23,9 +23,13 @@ INCLUDE = r"\\(?:input|include|subfile)\s*\{([^}]+)\}|\\(?:import|subimport)\s*\
 EXTENSIONS = {"image/jpeg": ".jpg", "image/png": ".png", "image/gif": ".gif", "image/webp": ".webp", "image/svg+xml": ".svg"}
 
 
+#: White space as Python strips it.
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(x: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+\z", "")
+    return F.btrim(x, F.lit(BLANKS))
 
 
 def if_blank(x: Column, other: Column | str) -> Column:
