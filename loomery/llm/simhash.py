@@ -133,13 +133,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def classes(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", fp: str = "fp") -> DataFrame:
-    """fp, component_id: the least doc_id of all documents that the fingerprint's links reach. docs: the columns doc_id and fp."""
+    """fp, root, component_id: the least fingerprint and the least doc_id that the fingerprint's links reach. docs: the columns doc_id and fp.
+
+    Only root is a component's own: components may share a least doc_id, or have none.
+    """
     ids = written(docs.groupBy(F.col(f"`{fp}`").alias("fp")).agg(F.min(F.col(f"`{doc_id}`")).alias("first")), "classes")
     edges = links(ids.select("fp"), radius)
     root = components(edges)
     named = ids.join(root, ids["fp"] == root["node"], "left").select(ids["fp"], "first", F.coalesce("root", ids["fp"]).alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return named.join(least, "root").select("fp", "component_id")
+    return named.join(least, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, words: int = 3) -> DataFrame:
@@ -160,15 +163,16 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radi
     """The documents without those of which an earlier one (by doc_id) is in the same component; their columns as they are.
 
     Of rows with the component's least doc_id, those of the least fingerprint stay, and of these the least row by text.
-    A document whose doc_id is null stays only if no other member has one.
+    A document whose doc_id is null stays only if no other member has one. Each component keeps one row, also where components
+    share their least doc_id or have none.
     """
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     own, body = (f"c{docs.columns.index(c)}" for c in (doc_id, text))
     marked = written(fingerprints(plain, body), "marked")
     ids = marked.select(F.col(own).alias("doc_id"), "fp")
     labelled = ids.join(classes(ids, radius), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = labelled.groupBy("component_id", F.col("doc_id").isNull().alias("none")).agg(F.min("fp").alias("fp"))
-    key = lambda c: F.concat_ws("|", F.coalesce(F.col(c).cast("string"), F.lit("none")), "fp")
+    first = labelled.groupBy("root", "component_id").agg(F.min("fp").alias("fp"))
+    key = lambda c: F.concat_ws("|", F.col(c).isNull().cast("string"), F.col(c).cast("string"), "fp")
     kept = marked.withColumn("k", key(own)).join(first.select(key("component_id").alias("k")), "k", "left_semi")
     rest = [c for c in plain.columns if c != body]
     one = kept.groupBy("k").agg(F.min(F.struct(body, *rest)).alias("row"))

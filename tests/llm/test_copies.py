@@ -144,6 +144,15 @@ def test_near_duplicates(shared, docs, texts, empty):
     assert sh.near_duplicates(empty).count() == 0 and sh.keep_first(empty).count() == 0
 
 
+def test_each_component_keeps_a_row(shared):
+    """Unrelated documents without an id, and one id with different texts, are components of their own."""
+    prose = lambda seed, n: " ".join(random.Random(seed).choices("river stone lamp cloud paper table green walk seven night bread glass".split(), k=n))
+    rows = [(None, prose(200, 60)), (None, prose(201, 60)), (None, prose(202, 60)), (None, prose(200, 60)), ("7", prose(203, 60)), ("7", prose(204, 60)), ("8", prose(204, 60)), ("9", prose(205, 60)), (None, prose(205, 60)), ("none", prose(206, 60)), (None, prose(206, 60))]
+    got = sh.keep_first(shared.createDataFrame(rows, "doc_id string, text string")).collect()
+    want = [rows[i] for i in (0, 1, 2, 4, 5, 7, 9)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_spots():
     spots = ss.Spots()
     a = "the river stone lamp of cloud paper table and green walk night"
