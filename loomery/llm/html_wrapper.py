@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -22,8 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pages that show the same text in a slot, at least, before it counts as the template's.
+#: Distinct articles whose pages show the same text in a slot, at least, before it counts as the template's.
 SUPPORT = 5
+#: Distinct articles of a host, those of the least hashes, nearly all of which must show it, and how many are nearly all.
+SAMPLE, SHARE = 20, 0.9
 #: Bytes of all wrappers up to which they are broadcast; beyond it they are joined by host.
 BROADCAST_BYTES = 32 << 20
 #: Parts that the pages of a host are dealt to in that join.
@@ -118,7 +121,8 @@ def walk(html: str | None) -> Iterator[tuple[str, list, str]]:
     yield from close_to(0)
 
 
-# A wrapper is a list of nodes: ["<", label], [">", label], ["x", hash or None, pages, characters], ["?", nodes], ["+", nodes].
+# A wrapper is a list of nodes: ["<", label], [">", label], ["x", hash or None, pages, characters, articles], ["?", nodes], ["+", nodes].
+# A slot's hash is of its path and text; its articles are the least SAMPLE hashes of the distinct articles on its pages.
 
 
 def signature(node: list) -> str:
@@ -131,19 +135,47 @@ def _hash(text: str) -> int:
     return xxh3_64_intdigest(text)
 
 
+def _slot_hash(stack: list, text: str) -> int:
+    return _hash("\0".join([*[x[0] for x in stack if x[1] not in _INLINE], "", text]))
+
+
+def _least(a: list[int], b: list[int]) -> list[int]:
+    return a if a == b else sorted({*a, *b})[:SAMPLE]
+
+
 def stream(html: str | None) -> list[list]:
-    """A page's nodes, text slots with the hash of their text."""
+    """A page's nodes, text slots with the hash of their path and text."""
     out: list[list] = []
     for what, stack, value in walk(html):
         if what == "x":
             text = " ".join(value.split())
             if text and not any(x[1] == "head" for x in stack):
-                out.append(["x", _hash(text), 1, len(text)])
+                out.append(["x", _slot_hash(stack, text), 1, len(text), []])
         elif value.partition(".")[0].partition("#")[0] not in _INLINE and not any(x[1] == "head" for x in stack):
             out.append([what, value])
     return out
 
 
+def article(nodes: list[list]) -> int:
+    """The hash of a page's own article, and its mark in the page's slots: copies of an article have the same one. nodes: of stream()."""
+    main = Wrapper(nodes, 1).main or ()
+    path: list[str] = []
+    texts: list[int] = []
+    for node in nodes:
+        if node[0] == "<":
+            path.append(node[1])
+        elif node[0] == ">":
+            if node[1] in path:  # a head's end has no beginning
+                del path[len(path) - 1 - path[::-1].index(node[1]) :]
+        elif tuple(path[: len(main)]) == main and not any(map(_is_chrome, path[len(main) :])):
+            texts.append(node[1])
+    mark = _hash(",".join(map(str, texts)))
+    for node in nodes:
+        if node[0] == "x":
+            node[4] = [mark]
+    return mark
+
+
 def folded(nodes: list[list]) -> list[list]:
     """Elements that stand next to others of the same shape become one repeated group."""
     out: list[list] = []
@@ -171,7 +203,8 @@ def folded(nodes: list[list]) -> list[list]:
 
 def _slot(a: list, b: list, repeated: bool = False) -> list:
     if a[0] == "x":
-        return ["x", a[1] if a[1] == b[1] and not repeated else None, a[2] if repeated else a[2] + b[2], a[3] + b[3]]
+        same = a[1] is not None and a[1] == b[1] and not repeated
+        return ["x", a[1] if same else None, a[2] if repeated else a[2] + b[2], a[3] + b[3], _least(a[4], b[4]) if same else []]
     if a[0] in "?+":
         return [a[0], [_slot(x, y, repeated) for x, y in zip(a[1], b[1], strict=True)]]
     return a
@@ -232,13 +265,26 @@ def aligned(a: list[list], b: list[list]) -> list[list]:
     return tidy
 
 
+@lru_cache(100_000)
+def _is_chrome(label: str) -> bool:
+    return re.split(r"[.#]", label)[0] in _CHROME or any(_CHROME_WORDS.match(w) for w in _SPLIT.split(re.sub(r"^\w+", "", label)) if w)
+
+
 class Wrapper:
-    """What extraction asks of a wrapper: the paths of its elements with their variable text, and the template's texts."""
+    """What extraction asks of a wrapper: the paths of its elements with their variable text, and the template's texts.
 
-    def __init__(self, nodes: list[list], pages: int) -> None:
+    A text is the template's if nearly all distinct articles of the host have it in the same slot; articles: the least hashes of these.
+    Every one of them that a slot's pages have is among the slot's own least ones, so their share is exact for them.
+    """
+
+    def __init__(self, nodes: list[list], pages: int, articles: list[int] | None = None) -> None:
         self.pages = pages
         mass: Counter = Counter()
-        fixed: set[int] = set()
+        fixed: Counter = Counter()  # slots by hash
+        known = frozenset(articles or ())
+
+        def template(node: list) -> bool:
+            return node[1] is not None and len(node[4]) >= SUPPORT and len(known.intersection(node[4])) >= SHARE * len(known)
 
         def visit(some: list[list], path: list[str], repeated: bool) -> None:
             for node in some:
@@ -248,11 +294,11 @@ class Wrapper:
                     if node[1] in path:
                         del path[len(path) - 1 - path[::-1].index(node[1]) :]
                 elif node[0] == "x":
-                    if node[1] is None or node[2] < SUPPORT:
+                    if not template(node):
                         for k in range(1, len(path) + 1):
                             mass[tuple(path[:k])] += node[3]
                     elif not repeated:
-                        fixed.add(node[1])
+                        fixed[node[1]] += 1
                 else:
                     visit(node[1], path, repeated or node[0] == "+")
 
@@ -264,7 +310,7 @@ class Wrapper:
     def _main(mass: Counter) -> tuple[str, ...] | None:
         """The path of the innermost element that has most of the variable text outside chrome; articles and mains before others."""
         def chrome(path: tuple) -> bool:
-            return any(re.split(r"[.#]", x)[0] in _CHROME or any(_CHROME_WORDS.match(w) for w in _SPLIT.split(re.sub(r"^\w+", "", x)) if w) for x in path)
+            return any(map(_is_chrome, path))
 
         good = {p: n for p, n in mass.items() if not chrome(p)}
         if not good:
@@ -293,8 +339,11 @@ def extract(html: str | None, wrapper: Wrapper | None) -> str:
 
 
 def _read(html: str, main: tuple[str, ...] | None, fixed) -> str:
+    """fixed: how many slots the template has for each hash; no more blocks than that are left out."""
     blocks: list[str] = []
     parts: list[str] = []
+    slots: Counter = Counter()  # of the block
+    left = Counter(fixed)
     heading = False
     drop: int | None = None  # the depth at which what is left out began
     inside: int | None = None if main else 0
@@ -303,8 +352,11 @@ def _read(html: str, main: tuple[str, ...] | None, fixed) -> str:
     def flush() -> None:
         text = " ".join(entities.unescape("".join(parts)).split())
         parts.clear()
-        if text and (not fixed or heading or _hash(text) not in fixed):
+        if text and not heading and slots and slots <= left:
+            left.subtract(slots)
+        elif text:
             blocks.append(text)
+        slots.clear()
 
     for what, stack, value in walk(html):
         tag = re.split(r"[.#]", value, maxsplit=1)[0] if what != "x" else ""
@@ -331,6 +383,8 @@ def _read(html: str, main: tuple[str, ...] | None, fixed) -> str:
             tags = {x[1] for x in stack[inside:]} if main else ()
             if "header" not in tags or tags & _HEADINGS:
                 parts.append(value)
+                if fixed and (bare := " ".join(value.split())):
+                    slots[_slot_hash(stack, bare)] += 1
     flush()
     return "\n".join(blocks)
 
@@ -342,24 +396,26 @@ def _host(url: str) -> Column:
 _SCHEMA = T.StructType([T.StructField("host", T.StringType()), T.StructField("part", T.LongType()), T.StructField("pages", T.LongType()), T.StructField("wrapper", T.StringType())])
 
 
-def _emit(found: dict[str, tuple[int, list]], part: int) -> pa.RecordBatch:
+def _emit(found: dict[str, tuple[int, list, list]], part: int) -> pa.RecordBatch:
     hosts = list(found)
-    return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([part] * len(hosts), pa.int64()), pa.array([found[h][0] for h in hosts], pa.int64()), pa.array([json.dumps(found[h][1]) for h in hosts], pa.string())], _SCHEMA.names)
+    return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([part] * len(hosts), pa.int64()), pa.array([found[h][0] for h in hosts], pa.int64()), pa.array([json.dumps(found[h][1:]) for h in hosts], pa.string())], _SCHEMA.names)
 
 
 def infer(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """host, part, pages, wrapper: one wrapper for each host, from all its pages. Pages of null html or url belong to no wrapper or to host ''."""
+    """host, part, pages, wrapper: one wrapper for each host, its nodes and articles, from all its pages. Pages of null html or url belong to no wrapper or to host ''."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, tuple[int, list]] = {}
+        found: dict[str, tuple[int, list, list]] = {}
         for batch in batches:
             for host, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                nodes = folded(stream(x))
+                nodes = stream(x)
+                mark = article(nodes)
+                nodes = folded(nodes)
                 if not nodes or len(nodes) > NODES:
                     continue
-                n, before = found.get(host, (0, None))
+                n, before, articles = found.get(host, (0, None, []))
                 made = nodes if before is None else aligned(before, nodes)
-                found[host] = (n + 1, made if len(made) <= NODES else before)
+                found[host] = (n + 1, made if len(made) <= NODES else before, _least(articles, [mark]))
             if len(found) > 5000:  # many hosts: what is known goes on, and the task begins anew
                 yield _emit(found, TaskContext.get().partitionId())
                 found = {}
@@ -367,12 +423,13 @@ def infer(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
             yield _emit(found, TaskContext.get().partitionId())
 
     def meet(key, table):
-        n, nodes = 0, None
+        n, nodes, articles = 0, None, []
         for pages, wrapper in sorted(zip(table.column("pages").to_pylist(), table.column("wrapper").to_pylist(), strict=True), key=lambda x: (-x[0], x[1])):
-            other = json.loads(wrapper)
+            other, more = json.loads(wrapper)
             made = other if nodes is None else aligned(nodes, other)
             nodes, n = made if nodes is None or len(made) <= NODES else nodes, n + pages
-        return pa.Table.from_batches([_emit({key[0].as_py(): (n, nodes)}, key[1].as_py() if len(key) > 1 else 0)])
+            articles = _least(articles, more)
+        return pa.Table.from_batches([_emit({key[0].as_py(): (n, nodes, articles)}, key[1].as_py() if len(key) > 1 else 0)])
 
     rows = pages.select(_host(url).alias("host"), F.col(f"`{html}`").alias("html")).where("html is not null")
     partial = rows.mapInArrow(own, _SCHEMA)
@@ -409,7 +466,9 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", keep: list
                     raw = known.get(host) if known is not None else own[i] and (0, own[i])
                     if len(made) > 2000:
                         made.clear()
-                    made[host] = Wrapper(json.loads(raw[1]), raw[0]) if raw else None
+                    if raw:
+                        nodes, articles = json.loads(raw[1])
+                    made[host] = Wrapper(nodes, raw[0], articles) if raw else None
                 texts.append(extract(x, made[host]))
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(n)], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names)
 

@@ -93,6 +93,18 @@ def test_joined_wrappers_give_the_same(shared, monkeypatch):
     assert sorted(tuple(r) for r in hw.main_text(df, keep=["page_id"]).collect()) == before == sorted((i, f"Text {i}", len(f"Text {i}")) for i in range(12))
 
 
+def test_a_copied_article_is_no_template(shared):
+    """Copies keep all their blocks however many they are; what all articles of a host show in a slot goes, there only."""
+    copied, note = "<h1>Copied</h1><p>The copied text.</p><blockquote>A block of its own.</blockquote><h4>And another.</h4><p>More of it.</p>", "<pre>Set in our &amp; own type.</pre>"
+    rows = [(i, f"http://mixed.org/{i}", page(f"<article><h1>Title {i}</h1><p>Text {i} is here.</p><blockquote>Home</blockquote>{note}</article>" if i < 3 else f"<article><h1>Title {i}</h1><p>Text {i} is here.</p>{note}</article>", i)) for i in range(12)]
+    rows += [(100 + i, "http://mixed.org/copy", page(f"<article>{copied}{note}</article>", i)) for i in range(30)]
+    rows += [(200 + i, "http://copies.org/", page(f"<article>{copied}</article>", i)) for i in range(8)]
+    got = {r.page_id: r.text for r in hw.main_text(shared.createDataFrame(rows, "page_id long, url string, html string").repartition(4), keep=["page_id"]).collect()}
+    text = "Copied\nThe copied text.\nA block of its own.\nAnd another.\nMore of it."
+    assert {got[i] for i in got if i >= 100} == {text}
+    assert all(got[i] == f"Title {i}\nText {i} is here." + ("\nHome" if i < 3 else "") for i in range(12))
+
+
 def test_alignment():
     one = hw.folded(hw.stream("<div><ul><li>a</li><li>b</li></ul><p>x</p></div>"))
     two = hw.folded(hw.stream("<div><ul><li>a</li></ul><h2>t</h2><p>y</p></div>"))
