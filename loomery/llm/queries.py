@@ -45,7 +45,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wordpieces.count_pieces(table(spark, sf_dir, "documents"), wordpieces.vocabulary(tokenizer("piece_bpe_32k.model")), keep=["doc_id"])
+    return wordpieces.count_pieces(table(spark, sf_dir, "documents"), wordpieces.vocabulary(tokenizer("piece_bpe_32k.model")), keep=["doc_id"], alone=True)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,12 +31,15 @@ def vocabulary(path: str) -> list[str]:
 class Automaton:
     """count(word): pieces of greedy longest match, from the left; unknown words count as one piece.
 
-    Node 0 is where a word begins, node 1 where any later piece begins.
+    Node 0 is where a word begins, node 1 where any later piece begins. With `alone`, START may be a piece of its own, if it is
+    one of the vocabulary: node 0 is then the state after it, and a word is cut as START and the word are, all pieces fitting anywhere.
     """
 
-    def __init__(self, pieces: list[str]) -> None:
+    def __init__(self, pieces: list[str], alone: bool = False) -> None:
         self.edges: list[dict[str, int]] = [{}, {}]
-        whole = [False, False]
+        if alone:
+            self.edges[1][START] = 0
+        whole = [alone and START in pieces, False]
         for piece in pieces:
             node, rest = (0, piece[len(START) :]) if piece.startswith(START) else (1, piece)
             for letter in rest:
@@ -51,11 +54,15 @@ class Automaton:
                 whole[node] = True
         self.fail: list[int] = [-1] * len(self.edges)  # -1: no pieces fit
         self.popped = [0] * len(self.edges)
-        queue = deque([0, 1])
+        if whole[0]:
+            self.fail[0], self.popped[0] = 1, 1
+        queue = deque([1] if alone else [0, 1])
         while queue:
             node = queue.popleft()
             for letter, nxt in self.edges[node].items():
-                if whole[nxt]:
+                if nxt == 0:
+                    pass  # known
+                elif whole[nxt]:
                     self.fail[nxt], self.popped[nxt] = 1, 1
                 else:
                     at, n = self.fail[node], self.popped[node]
@@ -77,7 +84,7 @@ class Automaton:
                     return 0
             node = edges[node][letter]
         while node != 1:  # what is left is a prefix of pieces: pop it
-            if node == 0:
+            if node == 0 and not word:
                 return 0
             n += popped[node]
             node = fail[node]
@@ -86,16 +93,16 @@ class Automaton:
         return n
 
 
-def count_pieces(docs: DataFrame, pieces: list[str], text: str = "text", keep: list[str] | None = None, memo: int = MEMO) -> DataFrame:
+def count_pieces(docs: DataFrame, pieces: list[str], text: str = "text", keep: list[str] | None = None, memo: int = MEMO, alone: bool = False) -> DataFrame:
     """docs with n_words, n_unknown and n_tokens: the pieces of all words, unknown words as one each.
 
     Words are what white space divides. A null or empty text has none. Rows repeat as they are; columns of docs with
-    these names are replaced.
+    these names are replaced. alone: START may be a word's first piece by itself, as in the vocabulary's own cut.
     """
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def make():
-        automaton = Automaton(shared.value)
+        automaton = Automaton(shared.value, alone)
         known: dict[str, int] = {}
 
         def work(texts):

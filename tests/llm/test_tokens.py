@@ -148,3 +148,35 @@ def test_piece_counts(shared, docs, texts, empty):
             assert (r.n_words, r.n_unknown, r.n_tokens) == (len(n), n.count(0), sum(n) + n.count(0))
     assert wordpieces.count_pieces(empty, pieces).count() == 0
     assert wordpieces.count_pieces(docs, pieces, memo=2).agg({"n_tokens": "sum"}).first()[0] == found.agg({"n_tokens": "sum"}).first()[0]
+
+
+def greedy_from_start(word, pieces):
+    """Greedy pieces of START and the word."""
+    word, n = wordpieces.START + word, 0
+    while word:
+        size = next((k for k in range(len(word), 0, -1) if word[:k] in pieces), 0)
+        if not size:
+            return 0
+        word, n = word[size:], n + 1
+    return n
+
+
+@pytest.mark.parametrize("pieces", [PIECES, PIECES[1:], [*PIECES, "▁▁", "a▁b", "▁bcx"]])
+@settings(max_examples=400, deadline=None)
+@given(word=st.text(alphabet="abcdxyz▁", min_size=1, max_size=12))
+def test_automaton_with_start_alone(pieces, word):
+    assert wordpieces.Automaton(pieces, alone=True).count(word) == greedy_from_start(word, set(pieces))
+
+
+def test_words_of_rare_first_letters(shared, monkeypatch):
+    """The query knows words whose first letter has no piece with START."""
+    from loomery.llm import queries
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    pieces = wordpieces.vocabulary(path)
+    held = set(pieces)
+    words = [f"{c}{rest}" for c in sorted({x for x in pieces if len(x) == 1} - {wordpieces.START}) if c.strip() and "▁" + c not in held for rest in ("", "e", "andra")][:300]
+    assert words and "▁" in held
+    monkeypatch.setattr(queries, "table", lambda *_: shared.createDataFrame([(i, w) for i, w in enumerate(words)], "doc_id long, text string"))
+    got = {r.doc_id: (r.n_words, r.n_unknown, r.n_tokens) for r in queries.op6_token_counts(shared, "").collect()}
+    assert got == {i: (1, 0, greedy_from_start(w, held)) for i, w in enumerate(words)}
