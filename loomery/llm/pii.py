@@ -107,7 +107,8 @@ def _name(kind: Column, h: Column, attempt: Column) -> Column:
         parts = F.array(*[F.lit(s) for s in SYLLABLES[script]])
         made = F.initcap(F.concat(*[F.get(parts, _byte(h, k) % len(SYLLABLES[script])) for k in (1, 2, 3)]))
         longer = F.concat(made, *[F.get(parts, _byte(h, k) % len(SYLLABLES[script])) for k in (4, 5, 6)])
-        given = F.when(attempt < 20, drawn).otherwise(made)
+        # listed names that all occur leave the syllables: men's end in consonants, women's in a vowel
+        given = F.when(attempt < 20, drawn).otherwise(F.concat(made, F.lit({"latin": "a", "cyrillic": "а"}[script] if gender == "f" else "")))
         surname = F.concat(F.when(attempt < 3, made).otherwise(longer), F.lit("а" if (gender, script) == ("f", "cyrillic") else ""))
         out = (F if out is None else out).when(kind == f"given {gender} {script}", given).when((kind == f"surname {gender} {script}") | ((kind == "surname - latin") & (F.lit(script) == "latin")), surname)
     return out
@@ -208,6 +209,7 @@ def assign(found: DataFrame, key: str, attempts: int = ATTEMPTS) -> DataFrame:
 def replace_pii(docs: DataFrame, key: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with surrogates in its text and with n_entities.
 
+    Where a text has a person's name, its bare mentions of that name are replaced too.
     Null texts stay null, texts without entities as they are (n_entities 0). Rows repeat as they are; equal entities get
     equal surrogates in all rows. An empty table gives an empty one. A column n_entities of docs is replaced.
     """
@@ -228,12 +230,35 @@ def replace_pii(docs: DataFrame, key: str, text: str = "text", doc_id: str = "do
         attempt = lambda x: F.coalesce(F.try_element_at("m", F.concat_ws("|", x["kind"], x["normal"])), F.lit(0))
 
     def written_anew(x: Column) -> Column:
-        return _let(surrogate(x["kind"], x["normal"], attempt(x), key), lambda new: F.concat(x["lead"], _rendered(x["entity"], x["kind"], x["value"], new)))
+        name = F.when(x["kind"].rlike("^(given|surname) "), x["value"])
+        return _let(surrogate(x["kind"], x["normal"], attempt(x), key), lambda new: F.struct(F.concat(x["lead"], _rendered(x["entity"], x["kind"], x["value"], new)).alias("out"), name.alias("name"), new.alias("new")))
+
+    def bare(gap: Column, names: Column) -> Column:
+        """text, n: a gap between matches with the text's own names replaced, and how many there were."""
+        pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform(names, lambda x: x["name"]), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+        new = lambda hit: F.get(F.filter(names, lambda x: x["name"] == hit), F.lit(0))["new"]
+
+        def replaced(hits: Column) -> Column:
+            parts = F.zip_with(F.split(gap, pattern), hits, lambda g, hit: F.concat(g, F.when(hit.isNull(), F.lit("")).otherwise(new(hit))))
+            return F.struct(F.array_join(parts, "").alias("text"), F.size(hits).alias("n"))
+
+        return F.when(F.size(names) == 0, F.struct(gap.alias("text"), F.lit(0).alias("n"))).otherwise(_let(F.regexp_extract_all(gap, pattern, F.lit(0)), replaced))
+
+    def whole(made: Column) -> Column:
+        """joined, n_entities of a text with matches."""
+        people = F.filter(F.flatten(made), lambda x: x["name"].isNotNull())
+        gaps = _let(F.array_distinct(F.transform(people, lambda x: F.struct(x["name"].alias("name"), x["new"].alias("new")))), lambda names: F.transform(F.split(F.col(body), _PATTERN), lambda g: bare(g, names)))
+
+        def joined(parts: Column) -> Column:
+            text = F.array_join(F.zip_with(parts, made, lambda g, m: F.concat(g["text"], F.coalesce(F.array_join(F.transform(m, lambda x: x["out"]), ""), F.lit("")))), "")
+            count = F.size(F.flatten(made)) + F.aggregate(parts, F.lit(0), lambda a, g: a + g["n"])
+            return F.struct(text.alias("joined"), count.cast("long").alias("n_entities"))
+
+        return _let(gaps, joined)
 
     def result(matches: Column) -> Column:
-        new = F.transform(matches, lambda m: F.array_join(F.transform(m, written_anew), ""))
-        joined = _let(new, lambda n: F.array_join(F.zip_with(F.split(F.col(body), _PATTERN), n, lambda g, e: F.concat(g, F.coalesce(e, F.lit("")))), ""))
-        return F.struct(F.when(F.size(matches) > 0, joined).otherwise(F.col(body)).alias("joined"), F.coalesce(F.aggregate(matches, F.lit(0), lambda a, m: a + F.size(m)), F.lit(0)).cast("long").alias("n_entities"))
+        made = F.transform(matches, lambda m: F.transform(m, written_anew))
+        return F.when(F.size(matches) > 0, _let(made, whole)).otherwise(F.struct(F.col(body).alias("joined"), F.lit(0).cast("long").alias("n_entities")))
 
     # a generator makes its row once, whatever is taken from it
     kept = [f"c{i}" for i, c in enumerate(names) if c != text]

@@ -55,6 +55,23 @@ def test_surrogates_stay_distinct(shared):
     assert len({r.new for r in table}) == 26 and max(r.attempt for r in table) > 0
 
 
+def test_gender_stays_where_all_names_occur(shared):
+    every = [(k, n) for k, x in pii.GIVEN.items() for n in x]
+    rows = [(i, f"x {n} {'Lang' if k[1] == 'latin' else 'Петров'}.") for i, (k, n) in enumerate(every)]
+    got = {r.doc_id: r.text.split()[1] for r in pii.replace_pii(shared.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
+    assert len(got) == len(every) and all((got[i][-1] in "aа") == (k[0] == "f") for i, (k, _) in enumerate(every))
+
+
+def test_bare_mentions(shared):
+    rows = [(1, "Miller came. Mary Miller and Mr. Lang met; Miller said Lang's Millers, Mary, McMiller and miller know Thomas."), (2, "Miller alone, Mary too."), (3, "Иван Петров. Петров и Иванов.")]
+    got = {r.doc_id: r for r in pii.replace_pii(shared.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
+    m = re.fullmatch(r"(\w+) came\. (\w+) (\w+) and Mr\. (\w+) met; (\w+) said (\w+)'s Millers, (\w+), McMiller and miller know Thomas\.", got[1].text)
+    assert m and m[1] == m[3] == m[5] != "Miller" and m[2] == m[7] != "Mary" and m[4] == m[6] != "Lang" and got[1].n_entities == 7
+    assert got[2].text == rows[1][1] and got[2].n_entities == 0
+    m = re.fullmatch(r"(\w+) (\w+)\. (\w+) и Иванов\.", got[3].text)
+    assert m and m[2] == m[3] != "Петров" and got[3].n_entities == 3
+
+
 def test_plan_is_native(shared):
     df = shared.createDataFrame([(1, TEXT)], "doc_id long, text string")
     plan = pii.replace_pii(df, "key")._jdf.queryExecution().executedPlan().toString()
