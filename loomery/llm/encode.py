@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import unicodedata
 from array import array
 from functools import lru_cache
@@ -20,6 +21,20 @@ from functools import lru_cache
 _S = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACED = re.compile(rf"(?: ?[^\W_]+|'[^\W_]+)(?:'[^\W_]+)*| ?(?:[^{_S}\w]|_)+|[{_S}]+(?![^{_S}])|[{_S}]")
 _BARE = re.compile(rf"(?:[^\W_]+|'[^\W_]+)(?:'[^\W_]+)*|(?:[^{_S}\w]|_)+")
+def _unassigned() -> str:
+    """The ranges, for a pattern's class, of code points that this Python's Unicode tables lack; the tokenizers' may have letters there."""
+    out, start = [], None
+    for c in range(0x80, 0x20000):
+        gone = c < 0x1F000 and unicodedata.category(chr(c)) == "Cn"
+        if gone and start is None:
+            start = c
+        elif not gone and start is not None:
+            out.append(f"{chr(start)}-{chr(c - 1)}")
+            start = None
+    return "".join(out) + f"{chr(0x20000)}-{chr(sys.maxunicode)}"
+
+
+_NEW = re.compile(f"[{_unassigned()}]")
 #: Letters of the Latin blocks, whose small forms are one letter each.
 _LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
 #: The byte-level alphabet: bytes that print stand for themselves, the others for the letters from U+0100 on.
@@ -80,6 +95,12 @@ class Encoder:
             self.signs[chunk] = found
         return found
 
+    def _chunks(self, word: str) -> bytes:
+        """The ids of a word, chunk by chunk; of one with letters that the pattern may not know, by the library."""
+        if not word.isascii() and _NEW.search(word):
+            return self._whole(word)
+        return b"".join(map(self._sign, self.pattern.findall(word)))
+
     def _word(self, word: str) -> bytes:
         """The ids of a word that stands after a single space; words of letters alone are kept."""
         found = self.words.get(word)
@@ -90,7 +111,7 @@ class Encoder:
             if core.isalpha():
                 tail = word[len(core) :]
                 return (self.words.get(core) or self._word(core)) + (self.signs.get(tail) or self._sign(tail))
-            return b"".join(map(self._sign, self.pattern.findall(word if self.bare else f" {word}")))
+            return self._chunks(word if self.bare else f" {word}")
         found = self.old.get(word)
         if found is None:
             found = self._merged(word if self.bare else f" {word}")
@@ -111,7 +132,7 @@ class Encoder:
         words = text.split() if self.bare else text.split(" ")
         first = b""
         if not self.bare:
-            first = b"".join(map(self._sign, self.pattern.findall(words[0])))
+            first = self._chunks(words[0])
             if words[0][-1:].isspace() and len(words) > 1:
                 return self._whole(text)
             words = words[1:]

@@ -21,8 +21,9 @@ KNOWN: dict = {}
 def plain(path, text):
     from tokenizers import Tokenizer
 
-    t = KNOWN.setdefault(path, Tokenizer.from_file(path))
-    return t.encode(text or "", add_special_tokens=False).ids
+    if path not in KNOWN:
+        KNOWN[path] = Tokenizer.from_file(path)
+    return KNOWN[path].encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
