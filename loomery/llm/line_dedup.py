@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomery.llm.shared import written
+
 WINDOW = 3
 
 
@@ -40,7 +42,8 @@ def without(text: str | None, starts: list[int] | None, size: int = WINDOW) -> t
 
 
 def _windows(docs: DataFrame, size: int) -> DataFrame:
-    schema = T.StructType([T.StructField(n, t) for n, t in (("d", T.LongType()), ("t", T.LongType()), ("at", T.IntegerType()), ("h", T.BinaryType()))])
+    """d, t, at, h: a row for each window of docs (d, t, text)."""
+    schema = T.StructType([docs.schema["d"], docs.schema["t"], T.StructField("at", T.IntegerType()), T.StructField("h", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -58,16 +61,16 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
 
     A window is `size` consecutive lines that aren't blank. Its first occurrence, by (doc_id, hash of the
     text, place), stays; lines that any later occurrence covers go. Texts of fewer lines
-    stay as they are, null texts stay null (n_lines 0). A null doc_id comes last. Rows of the same doc_id and text
+    stay as they are, null texts stay null (n_lines 0). Ids are ordered by their own type; a null doc_id comes last. Rows of the same doc_id and text
     are one document and all get its result. An empty table gives an empty one. Columns n_lines and n_removed of docs are replaced.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("n_lines", "n_removed", text.lower())]
     order = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("n_lines", "n_removed")]
-    d, t = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(2**63 - 1)), F.xxhash64(F.col(f"`{text}`"))
-    found = _windows(docs.select(d.alias("d"), t.alias("t"), F.col(f"`{text}`").alias("text")), size)
-    place = F.struct("d", "t", "at")
+    d, t = F.col(f"`{doc_id}`"), F.xxhash64(F.col(f"`{text}`"))
+    found = written(_windows(docs.select(d.alias("d"), t.alias("t"), F.col(f"`{text}`").alias("text")), size), "windows")
+    place = F.struct(F.col("d").isNull().alias("none"), "d", "t", "at")
     repeated = found.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
-    later = found.join(repeated, "h").where(place != F.col("first"))
+    later = found.join(repeated, "h").where(~place.eqNullSafe(F.col("first")))
     starts = later.groupBy("d", "t").agg(F.collect_set("at").alias("starts"))
     fields = [docs.schema[c] for c in kept] + [T.StructField(text, T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())]
     names = [f.name for f in fields]
@@ -79,5 +82,6 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(n)], *[pa.array([m[i] for m in made], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64()))]], names)
 
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], F.col(f"`{text}`").alias("x"), d.alias("d"), t.alias("t"))
-    joined = plain.join(starts, ["d", "t"], "left").select(*[f"c{i}" for i in range(len(kept))], "x", "starts")
+    starts = starts.toDF("sd", "st", "starts")
+    joined = plain.join(starts, F.col("d").eqNullSafe(F.col("sd")) & (F.col("t") == F.col("st")), "left").select(*[f"c{i}" for i in range(len(kept))], "x", "starts")
     return joined.mapInArrow(run, T.StructType(fields)).select(*[F.col(f"`{c}`") for c in (order if text in order else [*order, text])], "n_lines", "n_removed")
