@@ -162,7 +162,7 @@ def hexadecimal(fp: str = "fp") -> Column:
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, words: int = 3) -> DataFrame:
     """The documents without those of which an earlier one (by doc_id) is in the same component; their columns as they are.
 
-    Of rows with the component's least doc_id, those of the least fingerprint stay, and of these the least row by text.
+    Of rows with the component's least doc_id, those of the least fingerprint stay, and of these the least row by text, then by the others' JSON.
     A document whose doc_id is null stays only if no other member has one. Each component keeps one row, also where components
     share their least doc_id or have none.
     """
@@ -175,5 +175,6 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radi
     key = lambda c: F.concat_ws("|", F.col(c).isNull().cast("string"), F.col(c).cast("string"), "fp")
     kept = marked.withColumn("k", key(own)).join(first.select(key("component_id").alias("k")), "k", "left_semi")
     rest = [c for c in plain.columns if c != body]
-    one = kept.groupBy("k").agg(F.min(F.struct(body, *rest)).alias("row"))
+    order = F.struct(body, F.to_json(F.struct(*rest)))  # columns of any type, maps too
+    one = kept.groupBy("k").agg(F.min_by(F.struct(body, *rest), order).alias("row"))
     return one.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -51,11 +51,25 @@ def test_lines_of_odd_rows(shared, docs, empty):
     assert found.count() == docs.count()
     twice = found.where("doc_id = 5").collect()
     assert len(twice) == 2 and twice[0].text == twice[1].text and twice[0].n_removed == 0  # equal rows are one document
-    assert {r.doc_id: r.n_removed == r.n_lines for r in found.where("doc_id in (100, 101)").collect() if r.n_lines > 2} in ({100: True, 101: True}, {})
+    copies = found.where("doc_id in (100, 101)").collect()
+    assert len(copies) == 2 and all(r.n_lines > 2 and r.n_removed == r.n_lines for r in copies)
     assert ld.dedup_lines(empty).count() == 0
     assert ld.without("a\n\nb\nc\n\nd", [0]) == ("d", 4, 3)  # a blank line goes with the line before it
 
 
+def test_lines_by_ids_of_text(shared):
+    """Ids that are no numbers are ordered as they are; a null id comes last and loses to any."""
+    x = "a line\nanother one\na third\n"
+    df = shared.createDataFrame([("b", x + "b"), ("a", x + "a"), (None, x + "none"), (None, x + "none"), ("10", "short")], "doc_id string, text string")
+    got = sorted(((r.doc_id or "~", r.text, r.n_removed) for r in ld.dedup_lines(df).collect()))
+    assert got == [("10", "short", 0), ("a", x + "a", 0), ("b", "b", 3), ("~", "none", 3), ("~", "none", 3)]
+
+
+def test_one_row_stays_with_maps(shared):
+    df = shared.createDataFrame([(1, "same text here", {"b": 1}), (1, "same text here", {"a": 1}), (2, "same text here", {})], "doc_id long, text string, m map<string,int>")
+    assert [(r.doc_id, r.m) for r in sh.keep_first(df).collect()] == [(1, {"a": 1})]
+
+
 def test_one_window_in_a_third_of_all(shared):
     rows = [(i, f"own {i}\nx\ny\nz\nend {i}" if i % 3 == 0 else f"a {i}\nb {i}\nc {i}") for i in range(600)]
     got = ld.dedup_lines(shared.createDataFrame(rows, "doc_id long, text string"))
@@ -109,7 +123,7 @@ def test_links_join_all(shared, bucket):
         fps.update(x ^ r.getrandbits(32) for _ in range(20))  # the same high segment
     df = shared.createDataFrame([(x,) for x in fps], "fp long")
     edges = sh.links(df, bucket=bucket)
-    assert all((x.a ^ x.b & (1 << 64) - 1).bit_count() <= 2 or True for x in edges.collect())
+    assert all(((x.a ^ x.b) & (1 << 64) - 1).bit_count() <= 2 for x in edges.collect())
     got = {x.node: x.root for x in sh.components(edges).collect()}
     want = linked(sorted(fps))
     assert all(got.get(x, x) == want[x] for x in fps)
