@@ -1,13 +1,15 @@
 """Keyed surrogates for personal data, with DataFrame functions only.
 
 Entities are found by one pattern. Each has a kind and a normal form (digits of a phone or card, lower case of an
-address or secret), and the normal form's surrogate comes from a keyed hash in the same format; it is then written the way the
+address, a secret as it is), and the normal form's surrogate comes from a keyed hash in the same format; it is then written the way the
 entity was (punctuation, upper case), so all mentions of an entity agree. Surrogates are checked over the whole
-table: two entities never share one, and none equals an entity that occurs; whoever loses a check hashes again.
+table: two entities never share one, and none equals an entity that occurs; whoever loses a check hashes again. The
+hosts of addresses are entities of their own in these checks, so people of one host stay together and hosts apart.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -15,20 +17,37 @@ from pyspark.sql import functions as F
 
 from loomery.llm.shared import written
 
-#: Given names whose gender is plain, by gender and script.
+#: Given names whose gender is plain, by gender and script: those that are detected.
 GIVEN = {
-    ("m", "latin"): "James John Robert Michael William David Richard Thomas Charles Daniel Matthew Anthony Steven Paul Andrew Kenneth Hans Jürgen Wolfgang Pierre Jacques François José Carlos Miguel".split(),
-    ("f", "latin"): "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Margaret Sandra Ashley Emily Michelle Ursula Ingrid Monika Marie Isabelle Nathalie María Carmen Lucía".split(),
+    ("m", "latin"): "James John Robert Michael William David Richard Thomas Charles Daniel Matthew Anthony Steven Paul Andrew Kenneth Hans Jürgen Wolfgang Pierre Jacques François José Carlos Miguel Giorgos Ivan".split(),
+    ("f", "latin"): "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Margaret Sandra Ashley Emily Michelle Ursula Ingrid Monika Marie Isabelle Nathalie María Carmen Lucía Zoe Olga".split(),
     ("m", "cyrillic"): "Иван Дмитрий Сергей Андрей Алексей Николай Михаил Павел".split(),
     ("f", "cyrillic"): "Анна Мария Елена Ольга Наталья Татьяна Ирина Светлана".split(),
+    ("m", "greek"): "Γιώργος Γιάννης Νίκος Κώστας".split(),
+    ("f", "greek"): "Μαρία Ελένη Κατερίνα Σοφία".split(),
 }
-TITLES = "Mr Mrs Ms Dr Herr Frau Monsieur Madame Señor Señora".split()
-#: Syllables of surnames, by script.
-SYLLABLES = {"latin": "bar den fol gar hol kel lan mor nor pel ris sol tan vel wes zim".split(), "cyrillic": "бар ден фол гар хол кел лан мор нор пел рис сол тан вел вес зим".split()}
+#: Given names of the same kinds that surrogates are drawn from; none is detected.
+STAND_INS = {
+    ("m", "latin"): "Albert Bruno Cedric Dennis Edgar Felix Gordon Harvey Ignacio Jasper Konrad Lorenzo Marvin Norbert Oscar Percy Quentin Ralph Stefan Tobias Ulrich Victor Wesley Xavier Yannick".split(),
+    ("f", "latin"): "Agatha Beatrice Cecilia Daphne Edith Flora Greta Helena Irma Josefina Klara Louisa Matilda Nadine Odette Paulina Quirina Rosalind Stella Thelma Valeria Wanda Ximena Yvonne Zelda".split(),
+    ("m", "cyrillic"): "Артём Борис Виктор Глеб Егор Кирилл Леонид Максим Роман Тимур".split(),
+    ("f", "cyrillic"): "Алина Вера Галина Дарья Жанна Зоя Кира Лариса Нина Тамара".split(),
+    ("m", "greek"): "Αλέξανδρος Βασίλης Δημήτρης Θανάσης Πέτρος Στέλιος".split(),
+    ("f", "greek"): "Αγγελική Βασιλική Δέσποινα Ειρήνη Ζωή Φωτεινή".split(),
+}
+TITLES = "Mr Mrs Ms Dr Prof Herr Frau Monsieur Madame Mme Señor Señora Signor Signora".split()
+#: What stands before a person's whole name, so that names which aren't listed are found too.
+CUES = ["my name is", "name:", "contact:", "signed,", "attn:", "ich heiße", "je m'appelle", "me llamo", "mi chiamo", "меня зовут", "με λένε"]
+#: Letters that syllables of made-up names begin with, have and end in, by script.
+SOUNDS = {"latin": ("bdfghklmnprstvwz", "aeiou", "lmnrs"), "cyrillic": ("бвгдзклмнпрстфхш", "аеиоу", "лмнрс"), "greek": ("βγδζθκλμνπρστφχψ", "αειου", "λμνρξ")}
+#: Bytes of the entities that hashed again up to which they are sent along with the plan; beyond it the rows that have one are joined with theirs.
+INLINE_BYTES, BUCKETS = 4 << 20, 1024
 #: Hashes of one entity before its format counts as used up.
 ATTEMPTS = 40
 
 _NAMES = "|".join(n for names in GIVEN.values() for n in names)
+_SURNAME = r"(?:\p{Lu}['’]|Ma?c)?\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
+_CUE = rf"(?i:{'|'.join(CUES)})\s"
 _TITLED = rf"(?:{'|'.join(TITLES)})\.?\s"
 _KEYS = r"password|passwd|pwd|token|secret|api[_\-]?key"
 # no entity begins within a word: nearly all places fail at the first look
@@ -48,22 +67,36 @@ _PATTERN = r"(?<![\p{L}\p{N}])(?=[\p{L}\d(+._%\-])(?:" + "|".join(
         rf"(?i:{_KEYS})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?[A-Za-z0-9_\-/+.]{{6,}}",
         r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
         r"(?=[A-Za-z]*\d)[0-9a-fA-F]{16,}(?![A-Za-z0-9])",
-        rf"(?=[A-ZА-Я])(?:{_TITLED}(?:(?:{_NAMES})\s)?|(?:{_NAMES})\s)\p{{Lu}}\p{{Ll}}++",
+        rf"(?=\p{{Lu}})(?:{_TITLED}(?:(?:{_NAMES})\s)?|(?:{_NAMES})\s){_SURNAME}(?!\p{{L}})",
+        rf"(?=[{''.join(sorted({c for x in CUES for c in (x[0], x[0].upper())}))}]){_CUE}\p{{Lu}}\p{{Ll}}+\s{_SURNAME}(?!\p{{L}})",
     ]
 ) + ")"
-_NAME = rf"^({_TITLED})?(?:({_NAMES})(\s))?(\p{{Lu}}\p{{Ll}}+)$"
+_NAME = rf"^({_TITLED})?(?:({_NAMES})(\s))?({_SURNAME})$"
+_CUED = rf"^({_CUE})(\p{{Lu}}\p{{Ll}}+)(\s)({_SURNAME})$"
 
 
 def _in(value: Column, names: list[str]) -> Column:
     return value.isin(names)
 
 
+def _script(entity: Column) -> Column:
+    return F.when(entity.rlike(r"\p{IsCyrillic}"), "cyrillic").when(entity.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+
+
+def _given_kind(entity: Column) -> Column:
+    """Null for a name that isn't listed."""
+    out = None
+    for (gender, script), names in GIVEN.items():
+        out = (F if out is None else out).when(_in(entity, names), f"given {gender} {script}")
+    return out
+
+
 def kind_of(entity: Column) -> Column:
-    names = F.when(_in(entity, GIVEN["m", "latin"]), "given m latin").when(_in(entity, GIVEN["f", "latin"]), "given f latin").when(_in(entity, GIVEN["m", "cyrillic"]), "given m cyrillic").when(_in(entity, GIVEN["f", "cyrillic"]), "given f cyrillic")
+    surname = F.concat(F.lit("surname "), F.when(entity.rlike(r"\p{IsCyrillic}"), F.when(entity.rlike("(а|я)$"), "f").otherwise("m")).otherwise("-"), F.lit(" "), _script(entity))
     return (
         F.when(entity.contains("@"), "email").when(entity.rlike(rf"^(?i:{_KEYS})[\"']?\s*[:=]"), "secret").when(entity.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip")
         .when(entity.rlike(r"^[+(]|^\d{3}-\d{3}-\d{4}$"), "phone").when(entity.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(entity.rlike(r"^[\d \-]+$"), "card")
-        .when(entity.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9 ]{11,38}$"), "iban").when(entity.rlike("^[0-9a-fA-F]{16,}$"), "secret").otherwise(F.coalesce(names, F.when(entity.rlike(r"\p{IsCyrillic}"), F.when(entity.rlike("(а|я)$"), "surname f cyrillic").otherwise("surname m cyrillic")).otherwise("surname - latin")))
+        .when(entity.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9 ]{11,38}$"), "iban").when(entity.rlike("^[0-9a-fA-F]{16,}$"), "secret").otherwise(F.coalesce(_given_kind(entity), surname))
     )
 
 
@@ -73,7 +106,9 @@ def _value(entity: Column, kind: Column) -> Column:
 
 
 def _normal(value: Column, kind: Column) -> Column:
-    return F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(value, r"\D", "")).when(kind.isin("email", "secret"), F.lower(value)).when(kind == "iban", F.replace(value, F.lit(" "))).otherwise(value)
+    digits = F.regexp_replace(value, r"\D", "")
+    # a number of ten digits is the same one with the country code 1
+    return F.when((kind == "phone") & value.startswith("+1") & (F.length(digits) == 11), F.substring(digits, 2, 10)).when(kind.isin("phone", "card", "ssn"), digits).when(kind == "email", F.lower(value)).when(kind == "iban", F.replace(value, F.lit(" "))).otherwise(value)
 
 
 def _byte(h: Column, i: Column | int) -> Column:
@@ -82,11 +117,11 @@ def _byte(h: Column, i: Column | int) -> Column:
     return F.conv(F.substring(h, (at % 128) * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
-def _shaped(value: Column, h: Column, shift: int = 0) -> Column:
-    """Letters for letters and digits for digits."""
+def _shaped(value: Column, h: Column, shift: int = 0, letters: int = 26) -> Column:
+    """Letters (the alphabet's first ones) for letters and digits for digits."""
     def letter(i: Column) -> Column:
         c, b = F.substring(value, i + 1, F.lit(1)), _byte(h, i + shift)
-        return F.when(c.rlike("[0-9]"), (b % 10).cast("string")).when(c.rlike("[a-z]"), F.char(F.lit(97) + b % 26)).when(c.rlike("[A-Z]"), F.char(F.lit(65) + b % 26)).otherwise(c)
+        return F.when(c.rlike("[0-9]"), (b % 10).cast("string")).when(c.rlike("[a-z]"), F.char(F.lit(97) + b % letters)).when(c.rlike("[A-Z]"), F.char(F.lit(65) + b % letters)).otherwise(c)
 
     return F.when(F.length(value) > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.length(value) - 1), letter), "")).otherwise(value)
 
@@ -100,22 +135,33 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(0), F.length(digits) - 1), one), F.lit(0), lambda a, x: a + x) % 10
 
 
-def _name(kind: Column, h: Column, attempt: Column) -> Column:
-    out = None
-    for (gender, script), names in GIVEN.items():
-        drawn = F.get(F.array(*[F.lit(n) for n in names]), _byte(h, 0) % len(names))
-        parts = F.array(*[F.lit(s) for s in SYLLABLES[script]])
-        made = F.initcap(F.concat(*[F.get(parts, _byte(h, k) % len(SYLLABLES[script])) for k in (1, 2, 3)]))
-        longer = F.concat(made, *[F.get(parts, _byte(h, k) % len(SYLLABLES[script])) for k in (4, 5, 6)])
-        # listed names that all occur leave the syllables: men's end in consonants, women's in a vowel
-        given = F.when(attempt < 20, drawn).otherwise(F.concat(made, F.lit({"latin": "a", "cyrillic": "а"}[script] if gender == "f" else "")))
-        surname = F.concat(F.when(attempt < 3, made).otherwise(longer), F.lit("а" if (gender, script) == ("f", "cyrillic") else ""))
-        out = (F if out is None else out).when(kind == f"given {gender} {script}", given).when((kind == f"surname {gender} {script}") | ((kind == "surname - latin") & (F.lit(script) == "latin")), surname)
-    return out
+def _name(kind: Column, normal: Column, h: Column, attempt: Column) -> Column:
+    """A given name or surname, by the kind's gender and script (the last word of the kind)."""
+    def by(values: dict) -> Column:
+        out = F
+        for k, value in values.items():
+            out = out.when(kind.endswith(k), value)
+        return out
+
+    sounds = [by({f" {k}": F.lit(x[i]) for k, x in SOUNDS.items()}) for i in range(3)]
+    vowel = by({f" {k}": F.lit(x[1][0]) for k, x in SOUNDS.items()})
+    pool = by({f" {gender} {script}": F.array(*[F.lit(n) for n in names]) for (gender, script), names in STAND_INS.items()})
+
+    def syllables(k: int, n: int) -> Column:
+        return F.concat(*[F.substring(x, _byte(h, 3 * j + i) % len(SOUNDS["latin"][i]) + 1, F.lit(1)) for j in range(k, k + n) for i, x in enumerate(sounds)])
 
+    # more letters where many have met; men's names end in consonants, women's in a vowel
+    made = F.initcap(F.concat(syllables(0, 2), F.when(attempt < 3, F.lit("")).otherwise(syllables(2, 1)), F.when(kind.rlike("^(given|surname) f "), vowel).otherwise("")))
+    double = F.when(normal.contains("-"), F.concat(F.lit("-"), F.initcap(syllables(3, 2)))).otherwise("")
+    return F.when(kind.startswith("given") & (attempt < 6), F.coalesce(F.get(pool, _byte(h, 0) % F.size(pool)), made)).otherwise(F.concat(made, double))
 
-def surrogate(kind: Column, normal: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of a normal form, as a normal form."""
+
+def _host_of(address: Column) -> Column:
+    return F.substring_index(address, "@", -1)
+
+
+def surrogate(kind: Column, normal: Column, attempt: Column, key: str, host_attempt: Column | None = None) -> Column:
+    """The surrogate of a normal form, as a normal form; host_attempt: that of an address's host (0)."""
     whole = lambda *parts: F.sha2(F.concat_ws("|", F.lit(key), *parts), 512)
     doubled = lambda once, body: _let(once, lambda o: _let(F.concat(o, F.sha2(o, 512)), body))
     n = F.length(normal)
@@ -126,7 +172,9 @@ def surrogate(kind: Column, normal: Column, attempt: Column, key: str) -> Column
         more = F.when(attempt < 8, F.lit("")).otherwise(F.concat(F.lit("."), F.substring(h, 100, 8)))
 
         def host(d: Column) -> Column:
-            label = _shaped(F.substring_index(F.substring_index(normal, "@", -1), ".", 1), d)
+            where = F.when(kind == "host", normal).otherwise(_host_of(normal))
+            tries = F.when(kind == "host", attempt).otherwise(F.lit(0) if host_attempt is None else host_attempt)
+            label = F.concat(_shaped(F.substring_index(where, ".", 1), d), F.when(tries < 3, F.lit("")).otherwise(F.substring(d, 100, 8)))
             return F.concat(label, F.lit(".example."), F.get(F.array(F.lit("com"), F.lit("net"), F.lit("org")), _byte(d, 0) % 3))
 
         def checked(body: Column) -> Column:
@@ -134,15 +182,16 @@ def surrogate(kind: Column, normal: Column, attempt: Column, key: str) -> Column
             return F.concat(body, ((zero + _luhn(normal)) % 10).cast("string"))
 
         return (
-            F.when(kind == "email", F.concat(_shaped(F.substring_index(normal, "@", 1), h), more, F.lit("@"), doubled(whole(F.lit("domain"), F.substring_index(normal, "@", -1)), host)))
+            F.when(kind == "email", F.concat(_shaped(F.substring_index(normal, "@", 1), h), more, F.lit("@"), doubled(whole(F.lit("host"), _host_of(normal), (F.lit(0) if host_attempt is None else host_attempt).cast("string")), host)))
+            .when(kind == "host", host(h))
             .when(kind == "ip", F.concat_ws(".", (F.lit(11) + _byte(h, 0) % 116).cast("string"), _byte(h, 1).cast("string"), _byte(h, 2).cast("string"), (F.lit(1) + _byte(h, 3) % 254).cast("string")))
             .when(kind == "phone", F.concat(F.substring(normal, F.lit(1), code), (F.lit(2) + _byte(h, 20) % 8).cast("string"), digits(0, n - code - 1)))
             .when(kind == "ssn", F.concat(F.lit("9"), digits(0, n - 1)))
             .when(kind == "card", _let(F.concat(F.substring(normal, 1, 1), digits(0, n - 2)), checked))
             .when(kind == "iban", F.concat(F.substring(normal, 1, 2), _shaped(F.substring(normal, F.lit(3), n), h)))
-            .when((kind == "secret") & normal.rlike("^[0-9a-f]+$"), F.substring(F.repeat(h, F.ceil(n / 256).cast("int")), F.lit(1), n))
+            .when((kind == "secret") & normal.rlike("^[0-9a-fA-F]+$"), _shaped(normal, h, letters=6))
             .when(kind == "secret", _shaped(normal, h))
-            .otherwise(_name(kind, h, attempt))
+            .otherwise(_name(kind, normal, h, attempt))
         )
 
     return doubled(whole(kind, normal, attempt.cast("string")), made)
@@ -150,6 +199,9 @@ def surrogate(kind: Column, normal: Column, attempt: Column, key: str) -> Column
 
 def _rendered(entity: Column, kind: Column, value: Column, new: Column) -> Column:
     """The surrogate written as the entity was."""
+    digits = F.length(F.regexp_replace(value, r"\D", ""))
+    new = F.when((kind == "phone") & (digits == F.length(new) + 1), F.concat(F.lit("1"), new)).otherwise(new)
+
     def digit(i: Column) -> Column:
         c = F.substring(value, i + 1, F.lit(1))
         return F.when(c.rlike("[0-9]"), F.substring(new, F.length(F.regexp_replace(F.substring(value, F.lit(1), i + 1), r"\D", "")), F.lit(1))).otherwise(c)
@@ -160,12 +212,12 @@ def _rendered(entity: Column, kind: Column, value: Column, new: Column) -> Colum
 
     place = F.sequence(F.lit(0), F.length(value) - 1)
     cased = F.when((value == F.upper(value)) & (value != F.lower(value)), F.upper(new)).otherwise(new)
-    body = F.when(kind.isin("phone", "card", "ssn"), F.array_join(F.transform(place, digit), "")).when(kind == "iban", F.array_join(F.transform(place, sign), "")).when(kind.isin("email", "secret"), cased).otherwise(new)
+    body = F.when(kind.isin("phone", "card", "ssn"), F.array_join(F.transform(place, digit), "")).when(kind == "iban", F.array_join(F.transform(place, sign), "")).when(kind == "email", cased).otherwise(new)
     return F.concat(F.substring(entity, F.lit(1), F.length(entity) - F.length(value)), body)
 
 
-def _mention(lead: Column, entity: Column) -> Column:
-    kind = kind_of(entity)
+def _mention(lead: Column, entity: Column, kind: Column | None = None) -> Column:
+    kind = kind_of(entity) if kind is None else kind
     value = _value(entity, kind)
     return F.struct(lead.alias("lead"), entity.alias("entity"), kind.alias("kind"), value.alias("value"), _normal(value, kind).alias("normal"))
 
@@ -178,9 +230,11 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 def _mentions(match: Column) -> Column:
     """A match's mentions: a title stays, a given name and a surname are two entities, anything else is one."""
     part = lambda k: F.regexp_extract(match, _NAME, k)
+    cued = lambda k: F.regexp_extract(match, _CUED, k)
+    found = _mention(cued(1), cued(2), F.coalesce(_given_kind(cued(2)), F.concat(F.lit("given - "), _script(cued(2)))))
     given = F.when(part(2) != "", _mention(part(1), part(2)))
     surname = _mention(F.when(part(2) != "", part(3)).otherwise(part(1)), part(4))
-    return F.when(match.rlike(_NAME), F.array_compact(F.array(given, surname))).otherwise(F.array(_mention(F.lit(""), match)))
+    return F.when(match.rlike(_NAME), F.array_compact(F.array(given, surname))).when(match.rlike(_CUED), F.array(found, _mention(cued(3), cued(4)))).otherwise(F.array(_mention(F.lit(""), match)))
 
 
 def entities(text: Column) -> Column:
@@ -188,11 +242,11 @@ def entities(text: Column) -> Column:
     return F.transform(F.coalesce(F.regexp_extract_all(text, F.lit(_PATTERN), F.lit(0)), F.array().cast("array<string>")), _mentions)
 
 
-def assign(found: DataFrame, key: str, attempts: int = ATTEMPTS) -> DataFrame:
-    """kind, normal, attempt, new for the distinct kind and normal of found: new is no other row's, and no row's normal, within the kind."""
-    real = written(found.select("kind", "normal").distinct(), "entities")
-    again = lambda df: df.withColumn("new", surrogate(F.col("kind"), F.col("normal"), F.col("attempt"), key))
-    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but work in each row
+def _settled(real: DataFrame, key: str, attempts: int, more: list[str]) -> DataFrame:
+    """real (kind, normal and the columns in more) with attempt and new: no other row's, and no row's normal, within the kind."""
+    own = ["kind", "normal", *more]
+    again = lambda df: df.withColumn("new", surrogate(F.col("kind"), F.col("normal"), F.col("attempt"), key, *[F.col(c) for c in more]))
+    n = int(real.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but work in each row
     now = written(again(real.repartition(n, "kind", "normal").withColumn("attempt", F.lit(0))), "surrogates")
     for _ in range(attempts):
         owner = now.groupBy("kind", "new").agg(F.min(F.struct("attempt", "normal")).alias("o"), F.count("*").alias("n")).where("n > 1").select("kind", "new", F.col("o.normal").alias("owner"))
@@ -201,37 +255,62 @@ def assign(found: DataFrame, key: str, attempts: int = ATTEMPTS) -> DataFrame:
         bad = written(clash.union(taken).distinct(), "clashes")
         if bad.limit(1).count() == 0:
             return now
-        moved = again(now.join(bad, ["kind", "normal"], "left_semi").select("kind", "normal", (F.col("attempt") + 1).alias("attempt")))
-        now = written(now.join(bad, ["kind", "normal"], "left_anti").select("kind", "normal", "attempt", "new").unionByName(moved), "surrogates")
+        moved = again(now.join(bad, ["kind", "normal"], "left_semi").select(*own, (F.col("attempt") + 1).alias("attempt")))
+        now = written(now.join(bad, ["kind", "normal"], "left_anti").select(*own, "attempt", "new").unionByName(moved), "surrogates")
     raise RuntimeError("a format has too few surrogates for its entities")
 
 
+def assign(found: DataFrame, key: str, attempts: int = ATTEMPTS) -> DataFrame:
+    """kind, normal, attempt, new for the distinct kind and normal of found, and for the hosts of its addresses (kind host).
+
+    new is no other row's, and no row's normal, within the kind. A kind of which nearly all values occur raises an error: its format
+    can't keep so many entities distinct.
+    """
+    real = written(found.select("kind", "normal").distinct(), "entities")
+    hosts = _settled(real.where("kind = 'email'").select(F.lit("host").alias("kind"), _host_of(F.col("normal")).alias("normal")).distinct(), key, attempts, [])
+    by_host = real.withColumn("h", F.when(F.col("kind") == "email", _host_of(F.col("normal"))))
+    placed = by_host.join(hosts.select(F.col("normal").alias("h"), F.col("attempt").alias("host_attempt")), "h", "left").select("kind", "normal", F.coalesce("host_attempt", F.lit(0)).alias("host_attempt"))
+    return _settled(placed, key, attempts, ["host_attempt"]).select("kind", "normal", "attempt", "new").unionByName(hosts)
+
+
 def replace_pii(docs: DataFrame, key: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with surrogates in its text and with n_entities.
 
-    Where a text has a person's name, its bare mentions of that name are replaced too.
+    Where a text has a person's name, its bare mentions of that name are replaced too. People are found by a title, a listed given
+    name or a cue (CUES) before the name; others stay, unless such a mention of theirs is in the same text. An empty key is an error.
     Null texts stay null, texts without entities as they are (n_entities 0). Rows repeat as they are; equal entities get
     equal surrogates in all rows. An empty table gives an empty one. A column n_entities of docs is replaced.
     """
+    if not key:
+        raise ValueError("surrogates need a secret key")
     names = [c for c in docs.columns if c.lower() != "n_entities"]
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     body, own = (f"c{names.index(c)}" for c in (text, doc_id))
     each = F.flatten(entities(F.col(body)))
     found = plain.select(F.explode(each).alias("e")).select("e.kind", "e.normal")
     table = assign(found, key)
-    moved = table.where("attempt > 0").select("kind", "normal", "attempt")
-    if moved.limit(1).count() == 0:
-        attempt = lambda x: F.lit(0)
+    moved = table.where("attempt > 0").select(F.concat_ws("|", "kind", "normal").alias("x"), "attempt")
+    size = moved.agg(F.sum(F.octet_length("x") + 16)).first()[0] or 0
+    if not size:
+        attempt = lambda kind, normal: F.lit(0)
+    elif size <= INLINE_BYTES:  # a constant of the plan, by the names' hashes
+        known: list[dict] = [{} for _ in range(BUCKETS)]
+        for r in moved.withColumn("b", F.pmod(F.xxhash64("x"), F.lit(BUCKETS))).collect():
+            known[r.b][r.x] = r.attempt
+        again = F.from_json(F.lit(json.dumps(known)), "array<map<string,int>>")
+        name = lambda kind, normal: F.concat_ws("|", kind, normal)
+        attempt = lambda kind, normal: F.coalesce(F.try_element_at(F.get(again, F.pmod(F.xxhash64(name(kind, normal)), F.lit(BUCKETS)).cast("int")), name(kind, normal)), F.lit(0))
     else:  # the rows with entities that hashed again get a map of theirs
         plain = plain.withColumn("k", F.struct(F.xxhash64(own, body), F.xxhash64(F.lit(1), body, own)))
-        names_of = plain.select("k", F.explode(each).alias("e")).select("k", "e.kind", "e.normal").distinct()
-        again = names_of.join(moved, ["kind", "normal"]).groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "normal"), "attempt"))).alias("m"))
+        mine = plain.select("k", F.explode(each).alias("e")).select("k", F.explode(F.array(F.concat_ws("|", "e.kind", "e.normal"), F.when(F.col("e.kind") == "email", F.concat_ws("|", F.lit("host"), _host_of(F.col("e.normal")))))).alias("x")).distinct()
+        again = mine.join(moved, "x").groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("x", "attempt"))).alias("m"))
         plain = plain.join(again, "k", "left")
-        attempt = lambda x: F.coalesce(F.try_element_at("m", F.concat_ws("|", x["kind"], x["normal"])), F.lit(0))
+        attempt = lambda kind, normal: F.coalesce(F.try_element_at("m", F.concat_ws("|", kind, normal)), F.lit(0))
 
     def written_anew(x: Column) -> Column:
         name = F.when(x["kind"].rlike("^(given|surname) "), x["value"])
-        return _let(surrogate(x["kind"], x["normal"], attempt(x), key), lambda new: F.struct(F.concat(x["lead"], _rendered(x["entity"], x["kind"], x["value"], new)).alias("out"), name.alias("name"), new.alias("new")))
+        host = F.when(x["kind"] == "email", attempt(F.lit("host"), _host_of(x["normal"]))).otherwise(0)
+        return _let(surrogate(x["kind"], x["normal"], attempt(x["kind"], x["normal"]), key, host), lambda new: F.struct(F.concat(x["lead"], _rendered(x["entity"], x["kind"], x["value"], new)).alias("out"), name.alias("name"), new.alias("new")))
 
     def bare(gap: Column, names: Column) -> Column:
         """text, n: a gap between matches with the text's own names replaced, and how many there were."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import secrets
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from loomery.llm import decontaminate, html_wrapper, line_dedup, packing, pii, simhash, spotsigs, tokenfile, toxicity, wordpieces
 from loomery.llm.shared import new_path, table
 
-#: The key of the surrogates; a deployment sets its own.
-PII_KEY = os.environ.get("LOOMERY_PII_KEY", "a key for tests")
+#: The key of the surrogates. Without the deployment's own there is a new secret one in each run, so no one can work the surrogates out.
+PII_KEY = os.environ.get("LOOMERY_PII_KEY") or secrets.token_hex(32)
 
 
 def tokenizer(name: str) -> str:
