@@ -5,6 +5,8 @@ Python's idea of white space and word characters is kept with (?U) in the patter
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,9 +17,12 @@ FRONTMATTER = r"\A---\n(?s:(.*?))\n---\n"
 ARXIV_ID = r"(?:arXiv:)?(?:https?://arxiv\.org/(?:abs|pdf|e-print)/)?(\d{4}\.\d{4,5}|[a-z\-]+(?:\.[A-Z]{2})?/\d{7})(?:v(\d+))?(?:\.pdf)?"
 YOUTUBE_ID = r"(?:youtube\.com/(?:watch\?v=|embed/|v/)|youtu\.be/)([a-zA-Z0-9_-]{11})"
 MATH_SIGNAL = (
+    r"(?=[\\Γ-ω∀-⊗])(?:"  # most places fail at one look
     "[∑∫∂∇≤≥≠≈∞αβγδθλμπρσφψωΓΔΘΛΣΦΨΩ∈∉⊂⊃⊆⊇∪∩⊕⊗]"
-    r"|\\frac|\\sum|\\int|\\prod|\\partial|\\nabla|\\sqrt|\\mathbb|\\mathcal|\\begin\{(?:equation|align|matrix|cases)"
+    r"|\\(?:frac|sum|int|prod|partial|nabla|sqrt|mathbb|mathcal|begin\{(?:equation|align|matrix|cases)))"
 )
+#: What looks like a formula, any of these: (characters at most, patterns that must be found, pattern that must not).
+MATH_RULES = ((8, (), r"\s\s|\bthat\b|\bthe\b|\band\b|\bis\b"), (None, (r"[\\_^{}]",), None), (30, (r"[=+\-*/<>]", "[a-zA-Z]"), None))
 UNHANDLED_INCLUDE = r"\\(?:includestandalone|InputIfFileExists|subfileinclude|lstinputlisting|verbatiminput)\s*\{[^}]*\}|\\inputminted\s*\{[^}]*\}\s*\{[^}]*\}|\\input\s+[A-Za-z0-9_./-]+"
 INCLUDE = r"\\(?:input|include|subfile)\s*\{([^}]+)\}|\\(?:import|subimport)\s*\{([^}]*)\}\s*\{([^}]+)\}"
 EXTENSIONS = {"image/jpeg": ".jpg", "image/png": ".png", "image/gif": ".gif", "image/webp": ".webp", "image/svg+xml": ".svg"}
@@ -256,8 +261,11 @@ def quality_score(x: Column, native_chars: Column, pages: Column) -> Column:
 
 def looks_like_math(x: Column) -> Column:
     s = strip(x)
-    n = F.length(s)
-    return (n > 0) & (((n <= 8) & ~s.rlike(r"(?U)\s\s|\bthat\b|\bthe\b|\band\b|\bis\b")) | s.rlike(r"[\\_^{}]") | ((n <= 30) & s.rlike(r"[=+\-*/<>]") & s.rlike("[a-zA-Z]")))
+    found = F.lit(False)
+    for most, present, absent in MATH_RULES:
+        tests = [s.rlike(f"(?U){p}") for p in present] + ([F.length(s) <= most] if most else []) + ([~s.rlike(f"(?U){absent}")] if absent else [])
+        found = found | reduce(Column.__and__, tests)
+    return (s != "") & found
 
 
 def thin_reason(body: Column) -> Column:
@@ -279,7 +287,19 @@ def read_folio(x: Column) -> Column:
 
 
 def json_ascii(x: Column) -> Column:
-    """A JSON string; letters beyond ASCII stay as they are, other than in Python's default."""
+    """A JSON string in ASCII: other letters are escaped, those beyond U+FFFF as their two halves."""
+    quoted = F.regexp_extract(F.to_json(F.struct(x.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
+    other = r"[^\x00-\x7f]"
+
+    def escape(c: Column) -> Column:
+        return F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\\\u$1")
+
+    hits = F.regexp_extract_all(quoted, F.lit(other), F.lit(0))
+    return F.array_join(F.zip_with(F.split(quoted, other), F.transform(hits, escape), lambda gap, c: F.concat(gap, F.coalesce(c, F.lit("")))), "")
+
+
+def json_text(x: Column) -> Column:
+    """A JSON string with its letters as they are."""
     return F.regexp_extract(F.to_json(F.struct(x.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomery.operators.predicates import is_paper_like
@@ -47,3 +47,37 @@ def audit_bucket(audit: DataFrame, bucket: str) -> DataFrame:
         "D": ((F.col("anchor_count") == 0) & (F.col("related_only_count") > 0) & defined, [F.desc("related_only_count"), "seq"]),
     }[bucket]
     return audit.where(rule).orderBy(*order)
+
+
+# The headings of the report.
+HEADINGS = {
+    "A": "A. Mentioned but never DEFINED — ingest the foundational paper", "B": "B. Orphan concepts — no incoming edges (stale?)",
+    "C": "C. Single-paper concepts — sibling paper would deepen them", "D": "D. Weakly anchored — only related-to edges, no is-a / part-of",
+}
+
+
+def _padded(x: Column, width: int, left: bool = False) -> Column:
+    gap = F.repeat(F.lit(" "), F.greatest(F.lit(width) - F.length(x), F.lit(0)))
+    return F.concat(gap, x) if left else F.concat(x, gap)
+
+
+def report_lines(audit: DataFrame) -> DataFrame:
+    """bucket, rank, line: the report, to be read by bucket and rank. Rank 0 is the bucket's heading; an empty bucket says (none)."""
+    slug, count = _padded(F.col("slug"), 38), lambda c: _padded(c.cast("string"), 2, True)
+    line = {
+        "A": F.concat(F.lit("  "), slug, F.lit(" "), count(F.size("discussed_by")), F.lit(" discusser(s), "), count(F.col("related_only_count")), F.lit(" related-to-from-concepts")),
+        "B": F.concat(F.lit("  "), "slug"),
+        "C": F.concat(F.lit("  "), slug, F.lit(" defined by "), F.array_join("defined_by", ", ")),
+        "D": F.concat(F.lit("  "), slug, F.lit(" related-to×"), F.col("related_only_count").cast("string")),
+    }
+    spark = audit.sparkSession
+    heads = spark.createDataFrame([(b, 0, f"=== {x} ===") for b, x in HEADINGS.items()], "bucket string, rank bigint, line string")
+    key = {"A": (-F.col("total_in"), "seq"), "B": (F.lit(0), "slug"), "C": (F.lit(0), "slug"), "D": (-F.col("related_only_count"), "seq")}
+    parts = None
+    for b in HEADINGS:
+        one = audit_bucket(audit, b).select(F.lit(b).alias("bucket"), key[b][0].cast("long").alias("k"), F.col(key[b][1]).cast("string").alias("s"), F.col("seq").alias("n"), line[b].alias("line"))
+        parts = one if parts is None else parts.unionByName(one)
+    by_number = F.when(F.col("bucket").isin("A", "D"), F.col("n")).otherwise(0)
+    ranked = parts.select("bucket", F.row_number().over(Window.partitionBy("bucket").orderBy("k", by_number, "s")).cast("long").alias("rank"), "line")
+    empty = heads.select("bucket").join(parts, "bucket", "left_anti").select("bucket", F.lit(1).cast("long").alias("rank"), F.lit("  (none)").alias("line"))
+    return heads.unionByName(ranked).unionByName(empty)

@@ -90,3 +90,26 @@ def choose_range(pages: Column, printed: Column, delta: Column, section: Column)
 def slice_pages(pages: DataFrame, ranges: DataFrame) -> DataFrame:
     """The pages within (book, first, last), both ends included and kept within the book: a range join by book."""
     return pages.join(ranges, "book").where((F.col("page_num") >= F.greatest(F.lit(1), "first")) & (F.col("page_num") <= F.col("last")))
+
+
+def section_record(chosen: DataFrame) -> DataFrame:
+    """book, sel, record: section.json of selections (book, sel, label, physical_start, physical_end, mode, extract_rc, source_pdf)."""
+    fields = F.struct("source_pdf", F.col("book").alias("book_slug"), F.col("sel").alias("selection"), "label", "physical_start", "physical_end", (F.col("physical_end") - F.col("physical_start") + 1).alias("pages"), "mode", "extract_rc")
+    return chosen.select("book", "sel", F.to_json(fields).alias("record"))
+
+
+def book_map(ranges: DataFrame, books: DataFrame, draft: bool = False) -> DataFrame:
+    """book, record: book_map.json from toc_ranges and books (book, source_pdf, page_count, delta, title, author). An outline is as long as a person made it."""
+    shown = ["level", "title", "slug", *(["printed_page"] if draft else []), "physical_start", "physical_end", "pages"]
+    entries = ranges.groupBy("book").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", F.struct(*shown).alias("e")))), lambda x: x["e"]).alias("entries"))
+    source = F.lit("printed" if draft else "outline")
+    metadata = F.when(F.col("title").isNotNull() | F.col("author").isNotNull(), F.struct("title", "author"))
+    fields = F.struct("source_pdf", F.col("book").alias("book_slug"), "page_count", source.alias("toc_source"), (F.col("delta") if draft else F.lit(0)).alias("delta"), metadata.alias("metadata"), F.coalesce("entries", F.from_json(F.lit("[]"), entries.schema["entries"].dataType)).alias("entries"))
+    return books.join(entries, "book", "left").select("book", F.to_json(fields).alias("record"))
+
+
+def probe_record(books: DataFrame, region: DataFrame, deltas: DataFrame) -> DataFrame:
+    """book, record: probe.json of books (book, source_pdf, page_count), toc_region and calibrate_delta."""
+    joined = books.join(region, "book").join(deltas, "book", "left")
+    fields = F.struct("source_pdf", F.col("book").alias("book_slug"), "page_count", F.array(F.col("lo") + 1, F.col("hi")).alias("toc_region_physical"), F.when(F.col("delta").isNotNull(), F.struct(F.col("delta"), F.col("confidence"))).alias("delta_suggestion"))
+    return joined.select("book", F.to_json(fields).alias("record"))

@@ -40,7 +40,7 @@ def video_content(videos: DataFrame) -> DataFrame:
     chapter = F.transform("chapters", lambda x: F.concat(F.lit("- "), F.when(x["start_time"].isNotNull(), F.concat(F.lit("["), t.format_time(x["start_time"]), F.lit("] "))).otherwise(""), F.coalesce(x["title"], F.lit(""))))
     title = F.coalesce("title", c("video_id").cast("string"))
     duration = F.when(F.coalesce("duration", F.lit(0)) > 0, t.format_time(c("duration"))).otherwise("")
-    head = F.concat(F.lit("---\ntitle: "), t.json_ascii(title), F.lit("\nchannel: "), t.json_ascii(or_blank("channel")), F.lit("\nurl: "), or_blank("url"), F.lit("\nduration: "), duration, F.lit("\ntranscript_source: "), or_blank("transcript_source"), F.lit("\n---\n\n# "), title, F.lit("\n\n"))
+    head = F.concat(F.lit("---\ntitle: "), t.json_text(title), F.lit("\nchannel: "), t.json_text(or_blank("channel")), F.lit("\nurl: "), or_blank("url"), F.lit("\nduration: "), duration, F.lit("\ntranscript_source: "), or_blank("transcript_source"), F.lit("\n---\n\n# "), title, F.lit("\n\n"))
     listed = F.when(F.coalesce(F.size("chapters"), F.lit(0)) > 0, F.concat(F.lit("## Chapters\n\n"), F.array_join(chapter, "\n"), F.lit("\n\n"))).otherwise("")
     return videos.select("video_id", F.concat(head, listed, F.lit(f"## Transcript\n\n{FENCE}text\n"), F.regexp_replace(or_blank("text"), r"\s+\z", ""), F.lit(f"\n{FENCE}\n")).alias("content"))
 

@@ -46,10 +46,10 @@ def _chain(s: str) -> list[str]:
 
 
 def run_ladder(docs: DataFrame, candidates: DataFrame, threshold: float = THRESHOLD, mode: str = "compat", force: str = "auto") -> DataFrame:
-    """doc_group, strategy, text, score, unreliable, strategies_used of profiles (profile_docs) and candidate texts (doc_group, strategy, text).
+    """doc_group, strategy, text, score, unreliable, strategies_used, exit_code of profiles (profile_docs) and candidate texts (doc_group, strategy, text).
 
     Attempts go on until a score reaches the threshold. compat takes the last attempt, even if it is worse or empty; best the best one.
-    A missing candidate is a failed attempt with the empty text.
+    A missing candidate is a failed attempt with the empty text. exit_code: 0, 4 for an unreliable text, 3 where there is none.
     """
     steps = docs.select("doc_group", "pages", "native_chars", F.posexplode(ladder(F.col("overall_type"), F.col("has_math"), force)).alias("step", "strategy"))
     tried = steps.join(candidates.select("doc_group", "strategy", "text"), ["doc_group", "strategy"], "left")
@@ -61,7 +61,14 @@ def run_ladder(docs: DataFrame, candidates: DataFrame, threshold: float = THRESH
     best = F.element_at(F.array_sort(F.transform(made, lambda x: F.struct(x["score"].alias("score"), (-x["step"]).alias("o"), x["strategy"].alias("strategy"), x["text"].alias("text")))), -1)
     chosen = best if mode == "best" else last
     used = F.map_from_entries(F.transform(made, lambda x: F.struct(x["strategy"], F.lit(1))))
-    return all_.select("doc_group", chosen["strategy"].alias("strategy"), chosen["text"].alias("text"), chosen["score"].alias("score"), (chosen["score"] < threshold).alias("unreliable"), used.alias("strategies_used"))
+    return all_.select("doc_group", chosen["strategy"].alias("strategy"), chosen["text"].alias("text"), chosen["score"].alias("score"), (chosen["score"] < threshold).alias("unreliable"), used.alias("strategies_used"), F.when(chosen["text"] == "", 3).when(chosen["score"] < threshold, 4).otherwise(0).alias("exit_code"))
+
+
+def outputs(results: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_group, content, metadata (JSON), exit_code of run_ladder and profile_docs: what an extraction leaves. Where there is no text nothing is written."""
+    own = results.where("exit_code != 3").join(docs.select("doc_group", "pages"), "doc_group")
+    metadata = F.struct(F.col("doc_group").alias("source_pdf"), F.col("pages").alias("page_count"), "strategies_used", F.round("score", 3).alias("final_quality"))
+    return own.select("doc_group", F.col("text").alias("content"), F.to_json(metadata).alias("metadata"), "exit_code")
 
 
 def needs_vision(profiles: DataFrame) -> DataFrame:

@@ -114,8 +114,8 @@ def orphan_issues(pages: DataFrame, edges: DataFrame) -> DataFrame:
     return found.select(F.lit("warn").alias("severity"), "rule", "slug", F.lit(None).cast("long").alias("edge_seq"), F.when(F.col("rule") == "V22", "no incoming edges").otherwise("no source defines, discusses or introduces it").alias("message"))
 
 
-def validate(pages: DataFrame, source_docs: DataFrame, nodes: DataFrame, edges: DataFrame, predicates: DataFrame, cache: bool = True) -> DataFrame:
-    """severity, rule, slug, edge_seq, message: all issues. The parsed pages are kept for the rules that share them, unless cache is false.
+def validate(pages: DataFrame, source_docs: DataFrame, nodes: DataFrame, edges: DataFrame, predicates: DataFrame, cache: bool = False) -> DataFrame:
+    """severity, rule, slug, edge_seq, message: all issues. With cache the parsed pages are persisted for the rules that share them; the caller unpersists.
 
     V01 (missing inputs) is an error of the readers; V03 can't occur, as pages are keyed by stem."""
     pages = pages.persist() if cache else pages

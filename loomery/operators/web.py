@@ -115,3 +115,11 @@ def stage_source(bundles: DataFrame) -> DataFrame:
     joined = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(new, i), F.lit("")))), "")
     head = F.concat(F.lit("---\nslug: "), "slug", F.lit("-source\npaper: "), "slug", F.lit("\nsource: "), "name", F.lit("\nstaged: "), "staged", F.lit("\n---\n\n# Source: "), title, F.lit("\n\n> Complete source text staged from bundle `"), "name", F.lit("`. The synthesised view is [["), "slug", F.lit("]].\n\n"))
     return bundles.select("slug", F.concat(head, joined, F.lit("\n")).alias("text"), F.size(F.filter(refs, local)).alias("copied"))
+
+
+def stage_assets(bundles: DataFrame) -> DataFrame:
+    """slug, file, target, refs of bundles (slug, content, files): the copies that the staged sources' local images need, and how often each is referred to."""
+    refs = F.regexp_extract_all(t.body_of(F.col("content")), F.lit(t.IMAGE_EMBED), F.lit(0))
+    found = bundles.select("slug", "files", F.explode(refs).alias("m")).select("slug", "files", F.trim(F.regexp_extract("m", r"\]\(([^)]+)\)$", 1)).alias("file"))
+    local = found.where(~t.is_external(F.col("file")) & F.array_contains("files", F.col("file")))
+    return local.groupBy("slug", "file").agg(F.count("*").alias("refs")).select("slug", "file", F.concat(F.lit("assets/"), "slug", F.lit("/"), "file").alias("target"), "refs")

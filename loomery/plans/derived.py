@@ -6,7 +6,7 @@ would have.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomery.operators.predicates import default_predicates
@@ -26,18 +26,27 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return concept.unionByName(source)
 
 
+def _target(part: str) -> Column:
+    """Every fifth concept is never reached."""
+    return F.col(part) - F.when(F.col(part) % 5 == 0, 1).otherwise(0)
+
+
 def source_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_quantity <= 24 and l_discount >= 0.08")
-    kind = F.when(F.col("l_quantity") <= 10, "defines").when(F.col("l_quantity") <= 12, "introduces").otherwise("discusses")
-    return first.select(F.concat(F.lit("source-"), "l_suppkey").alias("from"), F.concat(F.lit("concept-"), "l_partkey").alias("to"), kind.alias("predicate"), F.col("l_orderkey").cast("string").alias("context"), F.col("l_orderkey").alias("seq"))
+    """An edge for each line item, from its supplier (for some parts the first one) to its part."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", _target("l_partkey").alias("t"))
+    kind = F.when(F.col("l_quantity") <= 2, "defines").when(F.col("l_quantity") <= 3, "introduces").otherwise("discusses")
+    source = F.when(F.col("t") % 7 == 3, 1).otherwise(F.col("l_suppkey"))
+    return lines.select(F.concat(F.lit("source-"), source).alias("from"), F.concat(F.lit("concept-"), "t").alias("to"), kind.alias("predicate"), F.col("l_orderkey").cast("string").alias("context"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
 
 
 def concept_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
-    first = lines.where("l_linenumber = 1 and l_discount >= 0.09").select("l_orderkey", F.col("l_partkey").alias("a"))
-    second = lines.where("l_linenumber = 2 and l_discount >= 0.08").select("l_orderkey", F.col("l_partkey").alias("b"), "l_returnflag")
-    kind = F.when(F.col("l_returnflag") == "A", "is-a").when(F.col("l_returnflag") == "R", "part-of").otherwise("related-to")
-    return first.join(second, "l_orderkey").select(F.concat(F.lit("concept-"), "a").alias("from"), F.concat(F.lit("concept-"), "b").alias("to"), kind.alias("predicate"), F.col("l_orderkey").cast("string").alias("context"), (F.lit(BASE) + F.col("l_orderkey")).alias("seq"))
+    """An edge from the part of each line item to that of the order's next one."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", _target("l_partkey").alias("t"))
+    nxt = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("t").alias("b"), F.col("l_returnflag").alias("r"), F.col("l_quantity").alias("q"))
+    kind = F.when((F.col("r") == "A") & (F.col("q") <= 2), "is-a").when((F.col("r") == "R") & (F.col("q") <= 2), "part-of").otherwise("related-to")
+    return lines.select("l_orderkey", "l_linenumber", F.col("t").alias("a")).join(nxt, ["l_orderkey", "l_linenumber"]).select(
+        F.concat(F.lit("concept-"), "a").alias("from"), F.concat(F.lit("concept-"), "b").alias("to"), kind.alias("predicate"), F.col("l_orderkey").cast("string").alias("context"), (F.lit(BASE) + F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq")
+    )
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:

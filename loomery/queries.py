@@ -37,15 +37,14 @@ GRAPH = """
 nodes as (
   select 'concept-' || p_partkey as slug, p_name as title, 'concept' as type, p_partkey as seq from part
   union all select 'source-' || s_suppkey, s_name, case s_suppkey % 3 when 0 then 'paper' when 1 then 'video' else 'pdf' end, 1000000000000 + s_suppkey from supplier),
+li as (select *, l_partkey - case when l_partkey % 5 = 0 then 1 else 0 end as tk from lineitem),
 sedges as (
-  select 'source-' || l_suppkey as f, 'concept-' || l_partkey as t, case when l_quantity <= 10 then 'defines' when l_quantity <= 12 then 'introduces' else 'discusses' end as p,
-         cast(l_orderkey as varchar) as context, l_orderkey as seq
-  from lineitem where l_linenumber = 1 and l_quantity <= 24 and l_discount >= 0.08),
+  select 'source-' || case when tk % 7 = 3 then 1 else l_suppkey end as f, 'concept-' || tk as t, case when l_quantity <= 2 then 'defines' when l_quantity <= 3 then 'introduces' else 'discusses' end as p,
+         cast(l_orderkey as varchar) as context, l_orderkey * 10 + l_linenumber as seq from li),
 cedges as (
-  select 'concept-' || a.l_partkey as f, 'concept-' || b.l_partkey as t, case b.l_returnflag when 'A' then 'is-a' when 'R' then 'part-of' else 'related-to' end as p,
-         cast(a.l_orderkey as varchar) as context, 1000000000000 + a.l_orderkey as seq
-  from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey
-  where a.l_linenumber = 1 and b.l_linenumber = 2 and a.l_discount >= 0.09 and b.l_discount >= 0.08),
+  select 'concept-' || a.tk as f, 'concept-' || b.tk as t, case when b.l_returnflag = 'A' and b.l_quantity <= 2 then 'is-a' when b.l_returnflag = 'R' and b.l_quantity <= 2 then 'part-of' else 'related-to' end as p,
+         cast(a.l_orderkey as varchar) as context, 1000000000000 + a.l_orderkey * 10 + a.l_linenumber as seq
+  from li a join li b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1),
 edges as (select * from sedges union all select * from cedges)"""
 
 AUDIT = f"""with {GRAPH},
@@ -397,7 +396,7 @@ def page_titles(spark, sf_dir):
 
 @query(r"""select page_id, url, nullif(trim(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), '') as title, regexp_extract(html, '<html lang="([^"]*)"', 1) as language from pages""")
 def html_metadata(spark, sf_dir):
-    return web.metadata_of(html.extract_pages(_raw_pages(spark, sf_dir))).select("page_id", "url", "title", "language")
+    return web.metadata_of(html.extract_heads(_raw_pages(spark, sf_dir))).select("page_id", "url", "title", "language")
 
 
 @query()
@@ -406,9 +405,11 @@ def chrome_strip_stats(spark, sf_dir):
     return found.select("page_id", F.length("markdown").cast("long").alias("n_chars"), t.word_count(F.col("markdown")).alias("n_words"), F.size("images").alias("n_images"), F.col("counts.raw_delim").alias("raw_delim"), "extractor")
 
 
-@query(rf"select page_id, {ORIGIN} || '/a/c?x=1' as up from pages")
+@query(rf"select page_id, cast(pos as bigint) as pos, {ORIGIN} || '/c?x=1' as up from (select page_id, url, unnest(range(1, len(refs) + 1)) as pos from (select page_id, url, regexp_extract_all(html, '<a\s[^>]*?href\s*=\s*\"([^\"]*)\"', 1) as refs from pages))")
 def url_joins(spark, sf_dir):
-    return _raw_pages(spark, sf_dir).select("page_id", url_join(F.col("url"), F.lit("/a/b/../c?x=1")).alias("up"))
+    """Each link of each page, with dot segments after it."""
+    found = _raw_pages(spark, sf_dir).select("page_id", "url", F.posexplode(web.anchors(F.col("html"))).alias("pos", "ref"))
+    return found.select("page_id", (F.col("pos") + 1).cast("long").alias("pos"), url_join(F.col("url"), F.concat("ref", F.lit("/b/../../c?x=1"))).alias("up"))
 
 
 # ---- documents as pages of books ----
@@ -480,15 +481,26 @@ def quality_score(spark, sf_dir):
     return cleaned.select("doc_id", F.round(t.quality_score(F.col("text"), F.col("native"), F.lit(1)), 6).alias("score"))
 
 
-@query()
+LADDER = CLEAN.replace("from documents),", "from (select doc_id, text from documents)),", 1) + rf""", p as (select doc_id, raw, length({TRIM.replace("text", "raw")}) as chars, doc_id % 3 as images, regexp_matches(raw, '[∑∫∂∇≤≥≠≈∞αβγδθλμπρσφψωΓΔΘΛΣΦΨΩ∈∉⊂⊃⊆⊇∪∩⊕⊗]|\\frac|\\sum|\\int|\\prod|\\partial|\\nabla|\\sqrt|\\mathbb|\\mathcal|\\begin\{{(equation|align|matrix|cases)') as m, text from s),
+k as (select *, case when chars < 50 and images >= 1 then 'scanned' when chars > 200 then 'native' else 'hybrid' end as kind from p),
+f as (select *, case when chars > 200 then chars else 0 end as native, case when kind = 'scanned' then case when m then 'nougat' else 'ocr' end when kind = 'hybrid' or m then 'marker' else 'pymupdf' end as first from k),
+steps as (select f.*, z.strategy, z.step from f join (values ('pymupdf','pymupdf',0),('pymupdf','marker',1),('pymupdf','nougat',2),('marker','marker',0),('marker','nougat',1),('ocr','ocr',0),('ocr','nougat',1),('nougat','nougat',0)) z(first, strategy, step) using (first)),
+cand as (select *, case strategy when 'nougat' then text when 'marker' then case when text = '' then '' else regexp_replace(text, '\s+$', '') || chr(10) || '%%%%%%%%' || chr(10) end else '' end as c from steps),
+scored as (select *, case when regexp_replace(c, '\s+', '', 'g') = '' then 0.0 when native = 0 then least(1.0, length(c) / 800.0) else greatest(0.0, least(1.0, length(c) / cast(native as double)) - 0.05 * len(regexp_extract_all(c, '[^\pL\pM\pN_\s]{{6,}}')) / greatest(1.0, length(c) / 1000.0)) end as score from cand),
+ends as (select doc_id, coalesce(min(case when score >= 0.7 then step end), max(step)) as stop from scored group by doc_id)
+select doc_id as doc_group, strategy, round(score, 6) as score, score < 0.7 as unreliable, case when c = '' then 3 when score < 0.7 then 4 else 0 end as exit_code from scored join ends using (doc_id) where step = stop"""
+
+
+@query(LADDER)
 def ladder_result(spark, sf_dir):
-    """Candidates of growing quality: a piece of each group's first page, half of it and the whole of it."""
-    pages = d.pdf_pages(spark, sf_dir)
-    first = pages.groupBy("doc_group").agg(F.min_by("text", "page_num").alias("text"))
-    share = F.create_map(*[x for s, v in (("pymupdf", 0.1), ("marker", 0.5), ("nougat", 1.0), ("ocr", 0.2)) for x in (F.lit(s), F.lit(v))])
-    candidates = first.select("doc_group", "text", F.explode(share).alias("strategy", "share")).select("doc_group", "strategy", F.substring("text", F.lit(1), (F.length("text") * F.col("share")).cast("int")).alias("text"))
-    docs = pdf.profile_docs(pdf.profile_pages(pages.join(first.select("doc_group", "text"), ["doc_group", "text"], "left_semi")))
-    return pdf.run_ladder(docs, candidates).select("doc_group", "strategy", F.round("score", 6).alias("score"), "unreliable")
+    """Each document is a book of one page; its candidates are nothing, its text with a run of signs, and its text."""
+    pages = d.pdf_pages(spark, sf_dir).withColumn("doc_group", F.col("page_num"))
+    bare = F.coalesce("text", F.lit(""))
+    marked = F.when(t.cleanup(bare) == "", "").otherwise(F.concat(bare, F.lit("\n%%%%%%%%\n")))
+    made = F.create_map(F.lit("marker"), marked, F.lit("nougat"), bare, F.lit("ocr"), F.lit(""))
+    candidates = pages.select("doc_group", F.explode(made).alias("strategy", "text"))
+    docs = pdf.profile_docs(pdf.profile_pages(pages))
+    return pdf.run_ladder(docs, candidates).select("doc_group", "strategy", F.round("score", 6).alias("score"), "unreliable", "exit_code")
 
 
 TOC = """with toc as (select r_regionkey * 1000 as idx, 1 as level, r_name as title from region union all select n_regionkey * 1000 + 1 + n_nationkey, 2, n_name from nation),
@@ -516,9 +528,9 @@ select book, cast(case when samples >= 3 then delta end as bigint) as delta, cas
 def delta_mode(spark, sf_dir):
     from pyspark.sql import Window
 
-    rows = _documents(spark, sf_dir).select(F.col("source").alias("book"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long").alias("page_num"), "doc_id")
+    rows = _documents(spark, sf_dir).select(F.col("source").alias("book"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long").alias("page_num"), "doc_id", "text")
     folio = F.col("page_num") - 4 - F.when(F.col("doc_id") % 7 == 0, 1).otherwise(0)
-    return book.calibrate_delta(rows.withColumn("text", F.concat(F.lit("Some text\nof a page.\n("), folio.cast("string"), F.lit(")\n\n")))).withColumn("delta", F.col("delta").cast("long"))
+    return book.calibrate_delta(rows.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit("\n("), folio.cast("string"), F.lit(")\n\n")))).withColumn("delta", F.col("delta").cast("long"))
 
 
 # ---- transcripts and scalars ----
@@ -546,12 +558,12 @@ def vtt_segments(spark, sf_dir):
     return media.parse_vtt(files).select("video_id", (F.col("ord") - 1).cast("long").alias("ord"), "start", "end", "text")
 
 
-@query(r"""with x as (select doc_id, split_part(text, chr(10), 1) as s from documents)
+@query(r"""with x as (select doc_id, text as s from documents)
 select doc_id, regexp_replace(left(regexp_replace(regexp_replace(regexp_replace(trim(lower(s)), '[^\pL\pM\pN_\s-]', '', 'g'), '[\s_]+', '-', 'g'), '-+', '-', 'g'), 60), '^-+|-+$', '', 'g') as clip,
 coalesce(nullif(regexp_replace(left(regexp_replace(trim(regexp_replace(lower(s), '[^\pL\pM\pN_\s-]', '', 'g')), '[\s_-]+', '-', 'g'), 60), '^-+|-+$', '', 'g'), ''), 'section') as book,
 coalesce(nullif(lower(regexp_replace(regexp_replace(s, '[^a-zA-Z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')), ''), 'part') as tex from x""")
 def slugify_variants(spark, sf_dir):
-    s = F.substring_index("text", "\n", 1)
+    s = F.col("text")
     return _documents(spark, sf_dir).select("doc_id", t.slug_clip(s).alias("clip"), t.slug_book(s).alias("book"), t.slug_tex(s, "part").alias("tex"))
 
 
@@ -566,7 +578,8 @@ def id_parsing(spark, sf_dir):
 @query("""with c as (select distinct l_orderkey as b, l_linenumber as n from lineitem where l_quantity > 20), r as (select *, n - row_number() over (partition by b order by n) as run from c)
 select b as bundle_id, min(n) as first, max(n) as last, 'L' || min(n) || case when max(n) > min(n) then '-L' || max(n) else '' end as label, string_agg('note ' || n, chr(10) order by n) as text from r group by b, run""")
 def comment_blocks(spark, sf_dir):
-    lines = d.table(spark, sf_dir, "lineitem").where("l_quantity > 20").select(F.col("l_orderkey").alias("bundle_id"), F.col("l_linenumber").alias("n")).distinct()
+    noted = F.when(F.col("l_quantity") > 20, F.col("l_linenumber"))
+    lines = d.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("bundle_id"), noted.alias("n"))
     text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.when(F.array_contains("ns", i), F.concat(F.lit("x % note "), i.cast("string"))).when(i == 8, "y \\% z").otherwise("% ==")), "\n")
     files = lines.groupBy("bundle_id").agg(F.collect_set("n").alias("ns")).select("bundle_id", F.lit("a.tex").alias("file"), text.alias("text"))
     return latex.comment_blocks(latex.comments(files)).select("bundle_id", "first", "last", "label", "text")

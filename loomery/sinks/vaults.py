@@ -37,19 +37,24 @@ def write_text(one: DataFrame, path: str) -> None:
 
 
 def write_files(files: DataFrame, root: str) -> None:
-    """Each row's text at root/path; every executor writes through the path's file system. Rows of equal paths: the last writer's text."""
+    """Each row's text (or content, where it is binary) at root/path, in the file system that root names (file, hdfs, s3, gs).
+
+    Of rows of equal paths the greatest text is written. A null text is an empty file.
+    """
     base = root.rstrip("/")
+    body = "content" if "content" in files.columns else "text"
 
     def run(rows):
-        import os
+        from pyarrow.fs import FileSystem
 
+        store, top = FileSystem.from_uri(base)
         for r in rows:
-            full = f"{base}/{r.path}"
-            os.makedirs(os.path.dirname(full), exist_ok=True)
-            with open(full, "w", encoding="utf-8") as f:
-                f.write(r.text)
+            full = f"{top}/{r.path}"
+            store.create_dir(full.rpartition("/")[0], recursive=True)
+            with store.open_output_stream(full) as out:
+                out.write(r.body.encode() if isinstance(r.body, str) else bytes(r.body or b""))
 
-    files.select("path", "text").foreachPartition(run)
+    files.groupBy("path").agg(F.max(body).alias("body")).foreachPartition(run)
 
 
 def init_vault(spark, root: str) -> bool:

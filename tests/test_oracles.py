@@ -51,5 +51,5 @@ def test_runs(spark, name):
 def test_entry(spark):
     import __spark_entry__ as e
 
-    assert e.entry(spark).count() == 41
+    assert e.entry(spark).count() == 21
     assert set(e.oracle_sql()) <= set(e.queries())
