@@ -292,7 +292,7 @@ def json_ascii(x: Column) -> Column:
     other = r"[^\x00-\x7f]"
 
     def escape(c: Column) -> Column:
-        return F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\\\u$1")
+        return F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\u$1")
 
     hits = F.regexp_extract_all(quoted, F.lit(other), F.lit(0))
     return F.array_join(F.zip_with(F.split(quoted, other), F.transform(hits, escape), lambda gap, c: F.concat(gap, F.coalesce(c, F.lit("")))), "")

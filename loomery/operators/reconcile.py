@@ -70,6 +70,19 @@ def theme_matrix(root_nodes: DataFrame, root_edges: DataFrame, corpora: list[str
     return flags.select("theme", "title", *[F.when(F.coalesce(F.col(f"`{c}`"), F.lit(False)), "●").otherwise("○").alias(c) for c in corpora])
 
 
+def synonym_lines(root_nodes: DataFrame, root_edges: DataFrame) -> DataFrame:
+    """line, rank: a line of the report for each candidate (same-as?) edge, whose ends may be missing; in the order of seq, else of the ends."""
+    node = root_nodes.select("slug", "title", "corpus")
+    found = root_edges.where("predicate = 'same-as?'")
+    context = F.col("context") if "context" in found.columns else F.lit(None).cast("string")
+    order = ["seq"] if "seq" in found.columns else ["from", "to"]
+    named = found.withColumn("context", context).join(node.toDF("from", "ft", "fc"), "from", "left").join(node.toDF("to", "tt", "tc"), "to", "left")
+    end = lambda title, slug, corpus: F.concat(F.lit("**"), F.coalesce(title, slug), F.lit("** ("), F.coalesce(corpus, F.lit("?")), F.lit(")"))
+    line = F.concat(F.lit("- "), end("ft", "from", "fc"), F.lit(" ↔ "), end("tt", "to", "tc"), F.when(F.coalesce("context", F.lit("")) != "", F.concat(F.lit("  — "), "context")).otherwise(""))
+    rank = F.col("seq") if order == ["seq"] else F.row_number().over(Window.orderBy(*order))
+    return named.select(line.alias("line"), rank.alias("rank"))
+
+
 def connections_report(nodes: DataFrame, edges: DataFrame, root: tuple[DataFrame, DataFrame], order: list[str], previous: str = "", today: str = "") -> str:
     """The text of the connections report. Only corpora of the given order are listed; the reading paths of the previous report stay."""
     root_nodes_, root_edges_ = root
@@ -85,12 +98,7 @@ def connections_report(nodes: DataFrame, edges: DataFrame, root: tuple[DataFrame
         lines += [f"### {r.title or r.slug}", ""]
         for c in (c for c in listed if c in r.hints):
             lines += [f"**[{c}]({c}/README.md)** —" + (f" Connects to: {r.hints[c]}." if r.hints[c] else ""), ""]
-    node = root_nodes_.select("slug", "title", "corpus")
-    candidates = root_edges_.where("predicate = 'same-as?'")
-    if "context" not in candidates.columns:
-        candidates = candidates.withColumn("context", F.lit(None).cast("string"))
-    named = candidates.join(node.toDF("from", "ft", "fc"), "from", "left").join(node.toDF("to", "tt", "tc"), "to", "left").orderBy(*(["seq"] if "seq" in candidates.columns else ["from", "to"]))
-    rows = [f"- **{r.ft or r['from']}** ({r.fc or '?'}) ↔ **{r.tt or r['to']}** ({r.tc or '?'})" + (f"  — {r.context}" if r.context else "") for r in named.toLocalIterator()]
+    rows = [r.line for r in synonym_lines(root_nodes_, root_edges_).orderBy("rank").toLocalIterator()]
     if rows:
         lines += ["---", "", "## Candidate Synonyms", "", *rows, ""]
     matrix = theme_matrix(root_nodes_, root_edges_, listed).orderBy("theme").collect()

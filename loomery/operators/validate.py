@@ -146,3 +146,9 @@ def index_text(pages: DataFrame, n_edges: int) -> DataFrame:
     whole = lines.agg(F.array_sort(F.collect_list(F.struct("group", "type", part.alias("part"), F.size("lines").alias("n")))).alias("parts"))
     total = F.aggregate("parts", F.lit(0), lambda a, x: a + x["n"])
     return whole.select(F.concat(F.lit("# Wiki\n\n_"), total, F.lit(f" pages, {n_edges} edges._\n\n"), F.array_join(F.transform("parts", lambda x: x["part"]), "\n")).alias("text"))
+
+
+def index_totals(pages: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row with pages and edges, the totals that the index names."""
+    counts = pages.select(F.lit(1).alias("p"), F.lit(0).alias("e")).unionByName(edges.select(F.lit(0).alias("p"), F.lit(1).alias("e")))
+    return counts.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("pages"), F.coalesce(F.sum("e"), F.lit(0)).alias("edges"))

@@ -27,7 +27,8 @@ def _texts(spark: SparkSession, path: str, **options: str) -> DataFrame:
     reader = spark.read.format("text").option("wholetext", "true")
     for k, v in options.items():
         reader = reader.option(k, v)
-    return reader.load(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))  # the metadata has the URI
+    return reader.load(path).select(plain.alias("path"), F.col("value").alias("text"))
 
 
 def _hidden(spark: SparkSession, path: str) -> str:

@@ -7,6 +7,7 @@ from pathlib import Path
 import pandas as pd
 import pytest
 
+import loomery.bundle_queries  # noqa: F401
 from loomery.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
