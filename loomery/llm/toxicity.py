@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -18,14 +20,16 @@ BUCKETS = 1 << 18
 FACTORS = 4
 THRESHOLD = 0.7
 #: Lengths of the beginnings of words that are terms beside the words.
-STEMS = (4, 5, 6)
+STEMS = (3, 4, 5)
+#: Parts of a text's words from which on a word or beginning that occurs more than once is a further term.
+LEVELS = (1 / 128, 1 / 64)
 MEMO = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 class Terms:
-    """of(text): the sorted distinct buckets of the text's words and their beginnings."""
+    """of(text): the sorted distinct buckets of the text's words and their beginnings, and of those that make up a part of it (LEVELS)."""
 
     def __init__(self, buckets: int = BUCKETS, memo: int = MEMO) -> None:
         self.buckets, self.most = buckets, memo
@@ -35,17 +39,22 @@ class Terms:
         return tuple({zlib.crc32(x.encode("utf-8", "surrogatepass")) % self.buckets for x in (word, *[f"{word[:n]}-" for n in STEMS if len(word) >= n])})
 
     def of(self, text: str | None) -> np.ndarray:
-        memo, words = self.memo, set(_WORD.findall((text or "").lower()))
-        try:
-            found = set().union(*[memo[w] for w in words])
-        except KeyError:
-            if len(memo) > self.most:
-                memo.clear()
-            memo.update((w, self._ids(w)) for w in words if w not in memo)
-            found = set().union(*[memo[w] for w in words])
-        out = np.fromiter(found, dtype=np.int64, count=len(found))
-        out.sort()
-        return out
+        words = Counter(_WORD.findall((text or "").lower()))
+        if not words:
+            return np.zeros(0, dtype=np.int64)
+        memo = self.memo
+        if len(memo) > self.most:
+            memo.clear()
+        for w in words:
+            if w not in memo:
+                memo[w] = self._ids(w)
+        found = [memo[w] for w in words]
+        ids = np.fromiter(chain.from_iterable(found), dtype=np.int64)
+        times = np.repeat(np.fromiter(words.values(), dtype=np.int64, count=len(words)), [len(x) for x in found])
+        terms, at = np.unique(ids, return_inverse=True)
+        count = np.bincount(at, weights=times)
+        dense = [(terms[(count > 1) & (count >= level * words.total())] * 2654435761 + k) % self.buckets for k, level in enumerate(LEVELS, 1)]
+        return np.unique(np.concatenate([terms, *dense]))
 
 
 class FactorizationMachine:
@@ -136,13 +145,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str
     """The packed model, from labels outside the held-out fold.
 
     At most `sample` labelled documents are used, those whose ids' hashes are least. Labels of null count for nothing; of several labels of
-    a document the greatest holds; of several rows of a document each is learnt from. Without labels all scores are 0, as with one class only.
+    a document the greatest holds; of several texts of a document the one of the least hash is learnt from. Without labels all scores are 0, as with one class only.
     """
     rows = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("id")))
     chosen = rows.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample).collect()
     spark = docs.sparkSession
     few = spark.createDataFrame([(r.id, r.y) for r in chosen], T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("y", T.IntegerType())]))
     own = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(few), "id")
+    own = own.groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # a row for each of few, however often its id occurs
 
     def make():
         terms = Terms()
