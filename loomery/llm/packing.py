@@ -5,8 +5,8 @@ size, fall into at most `capacity` classes each; a document is (length, rank in
 sequence is (gap, place in the queue of its class). The distributed parts are the tokenizing, the ranks in
 the classes and the placing of each piece; one superstep between them treats a whole class: its pieces,
 longest class first, sweep the sorted gaps for their successor (the least gap that holds them), pieces
-that want the same gaps get them by rank, the gaps are updated, and those left over sweep again. New
-sequences open only when no gap holds a piece. What is matched in a superstep is a range of ranks,
+that want the same gaps get them by rank, as many to a gap as it holds, the gaps are updated, and those left over sweep again. New
+sequences open only when no gap holds a piece. The sequences are those of best fit decreasing. What is matched in a superstep is a range of ranks,
 so the plan is a table of ranges whose size depends on the capacity and not on the documents.
 """
 
@@ -57,23 +57,26 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
                 opened += new
                 continue
             gap = gaps[k]
+            each = gap // length  # a sequence is the best fit until it holds no more
             moved = []
             queue = queues[gap]
             while queue and left:
                 first, n = queue[0]
-                take = min(n, left)
-                out.append((length, rank, take, first, capacity - gap))
-                moved.append((first, take))
-                rank, left = rank + take, left - take
-                if take == n:
+                full = min(n, left // each)
+                sequences, pieces = (full, each) if full else (1, left)
+                for place in range(pieces):
+                    out.append((length, rank + place * sequences, sequences, first, capacity - gap + place * length))
+                moved.append((gap - pieces * length, first, sequences))
+                rank, left = rank + pieces * sequences, left - pieces * sequences
+                if sequences == n:
                     queue.popleft()
                 else:
-                    queue[0] = [first + take, n - take]
+                    queue[0] = [first + sequences, n - sequences]
             if not queue:
                 del queues[gap]
                 gaps.pop(k)
-            for first, n in moved:
-                add(gap - length, first, n)
+            for smaller, first, n in moved:
+                add(smaller, first, n)
     return out
 
 

@@ -56,16 +56,18 @@ def test_plan_places_all_without_overlap(counts):
             assert offset == at
             at += length
         assert at <= 16
-    # the sequences of best fit, piece by piece
-    gaps = []
+    # best fit decreasing, a piece at a time
+    bins = []
     for length in sorted((x for x in counts for _ in range(counts[x])), reverse=True):
-        fit = min((g for g in gaps if g >= length), default=None)
+        fit = min((b for b in bins if 16 - sum(b) >= length), key=lambda b: 16 - sum(b), default=None)
         if fit is None:
-            gaps.append(16 - length)
+            bins.append([length])
         else:
-            gaps.remove(fit)
-            gaps.append(fit - length)
-    assert len(used) == len(gaps)
+            fit.append(length)
+    # which of equally full sequences takes a piece is free: after each length the sequences are as full as those
+    for length in counts:
+        full = lambda held: sorted(n for n in (sum(x for x in b if x >= length) for b in held) if n)  # noqa: B023, E731
+        assert full([[x for _, x in pieces] for pieces in used.values()]) == full(bins)
 
 
 def test_pack(shared, docs, texts, empty):
