@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomery.llm.shared import free_name, map_text
+from loomery.llm.shared import free_name, map_text, written
 
 #: Words in a window.
 WINDOW = 10
@@ -85,51 +85,67 @@ def merged(spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
+ADDED = [("n_words", T.LongType()), ("hit_spans", T.ArrayType(T.IntegerType())), ("hit_items", T.ArrayType(T.StringType()))]
+
+
+def _one_pass(docs: DataFrame, rows: list[tuple[str | None, str]], text: str, window: int, keep: list[str]) -> DataFrame:
+    """docs (the columns in keep) with ADDED, for the items in rows."""
+    shared = docs.sparkSession.sparkContext.broadcast(rows)
+
+    def make():
+        found = tables(shared.value, window)
+
+        def work(texts):
+            out = [[], [], []]
+            for x in texts:
+                w, spans, own = words(x), [], set()
+                for one in found:
+                    one.search(w, spans, own)
+                for column, value in zip(out, (len(w), merged(spans), sorted(own)), strict=True):
+                    column.append(value)
+            return out
+
+        return work
+
+    return map_text(docs, ADDED, make, text, keep)
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, pass_bytes: int = PASS_BYTES, keep: list[str] | None = None) -> DataFrame:
     """docs (the columns in keep) with n_words, hit_spans (starts and ends of hit word ranges, flat) and hit_items.
 
     A text of null or without words has no words and no hits. Benchmark rows without words have no
     windows; those whose id is null hit words but name no item. Rows repeat as they are in docs. Columns of docs
     with the names of the added ones are replaced. The benchmark is searched for in as many passes as its
-    bytes need, each over all documents, so that no pass broadcasts more than pass_bytes of item texts
-    (and one item more).
+    bytes need, each over all documents and written before the next one begins, so that no more than pass_bytes of item texts
+    (and one item) are broadcast or held by a worker at a time; what the passes found is joined by the text's hash.
     """
-    spark = docs.sparkSession
     items = benchmark.select(benchmark[item].cast("string").alias("i"), benchmark[item_text].alias("t")).where("t is not null")
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     passes = -(-total // pass_bytes) or 1
-    added = [("n_words", T.LongType()), ("hit_spans", T.ArrayType(T.IntegerType())), ("hit_items", T.ArrayType(T.StringType()))]
-    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {n for n, _ in added}]
-    source = docs
-    hidden = [free_name(docs, x) for x in ("_words", "_spans", "_items")]
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in {n for n, _ in ADDED}]
+    if passes == 1:
+        return _one_pass(docs, [(r.i, r.t) for r in items.collect()], text, window, kept)
+    key = lambda c: F.struct(F.xxhash64(c), F.xxhash64(F.lit(1), c))
+    texts = docs.select(F.col(f"`{text}`").alias("t")).where("t is not null").withColumn("k", key("t"))
+    every = None
     for k in range(passes):
-        rows = [(r.i, r.t) for r in (items if passes == 1 else items.where(F.pmod(F.xxhash64("t"), F.lit(passes)) == k)).collect()]
-        shared = spark.sparkContext.broadcast(rows)
-
-        def make(shared=shared):
-            found = tables(shared.value, window)
-
-            def work(texts):
-                out = [[], [], []]
-                for x in texts:
-                    w, spans, own = words(x), [], set()
-                    for one in found:
-                        one.search(w, spans, own)
-                    for column, value in zip(out, (len(w), merged(spans), sorted(own)), strict=True):
-                        column.append(value)
-                return out
-
-            return work
-
-        last = k == passes - 1
-        names = [(h, t) for h, (_, t) in zip(hidden, added, strict=True)]
-        source = map_text(source, [(f"{h}{k}", t) for h, t in names], make, text, kept + [f"{h}{j}" for j in range(k) for h in hidden] + ([] if last or text in kept else [text]))
-    spans = F.concat(*[F.col(f"{hidden[1]}{k}") for k in range(passes)]) if passes > 1 else F.col(f"{hidden[1]}0")
-    out = source.select(*kept, F.col(f"{hidden[0]}0").alias("n_words"), spans.alias("hit_spans"), F.array_distinct(F.flatten(F.array(*[F.col(f"{hidden[2]}{k}") for k in range(passes)]))).alias("hit_items"))
-    if passes > 1:  # spans of several passes may overlap
-        union = F.udf(lambda flat: merged(list(zip(flat[::2], flat[1::2], strict=True))), T.ArrayType(T.IntegerType()))
-        out = out.withColumn("hit_spans", union("hit_spans"))
-    return out
+        rows = [(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("t"), F.lit(passes)) == k).collect()]
+        hits = written(_one_pass(texts, rows, "t", window, ["k"]).where(F.size("hit_spans") > 0).drop("n_words").dropDuplicates(["k"]), f"hits{k}")
+        every = hits if every is None else every.unionByName(hits)
+    by_text = every.groupBy("k").agg(F.flatten(F.collect_list("hit_spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_items")))).alias("hit_items"))
+    spans = F.transform(F.sequence(F.lit(0), F.size("s") - 1, F.lit(2)), lambda i: F.struct(F.get("s", i).alias("a"), F.get("s", i + 1).alias("b")))
+
+    def take(out, x):
+        """The union of the ranges so far and one that begins later."""
+        last = F.element_at(out, -1)
+        return F.when((F.size(out) == 0) | (x["a"] > last), F.concat(out, F.array(x["a"], x["b"]))).otherwise(F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.greatest(last, x["b"]))))
+
+    union = F.aggregate(F.array_sort(spans), F.array().cast("array<int>"), take)
+    by_text = by_text.select("k", union.alias("hit_spans"), "hit_items")
+    hidden = free_name(docs, "_key")
+    counted = map_text(docs.withColumn(hidden, key(F.col(f"`{text}`"))), [("n_words", T.LongType())], lambda: lambda xs: [[len(words(x)) for x in xs]], text, [*kept, hidden])
+    none = lambda c, t: F.coalesce(c, F.array().cast(t)).alias(c)
+    return counted.join(by_text, counted[hidden] == by_text["k"], "left").select(*[counted[c] for c in kept], "n_words", none("hit_spans", "array<int>"), none("hit_items", "array<string>"))
 
 
 def n_hit(spans: str = "hit_spans"):

@@ -61,6 +61,8 @@ def test_leaks(shared, docs, texts, pass_bytes):
     for r in rows:
         if len(r.text or "") < 20_000:
             assert (r.n_words, r.n_hit, sorted(r.hit_items)) == brute(r.text, named)
+    spans = [(r.hit_spans[::2], r.hit_spans[1::2]) for r in found.collect()]
+    assert all(len(a) == len(b) and all(x < y for x, y in zip(a, b, strict=True)) and all(y < x for y, x in zip(b, a[1:], strict=False)) for a, b in spans)
     kept = dc.drop_contaminated(docs, table)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in rows if not r.n_hit}
