@@ -28,7 +28,8 @@ CHAIN = 3
 SIMILAR = 0.8
 MEMO = 300_000
 
-_WORD = re.compile(r"[^\W_]+")
+#: Words; of scripts without spaces each sign is one.
+_WORD = re.compile("[\u3040-\u30ff\u3400-\u9fff]|[^\\W_\u3040-\u30ff\u3400-\u9fff]+")
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 
 
@@ -109,7 +110,7 @@ def compare_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ch
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_spots of each row.
 
     The next row is that of the next doc_id, ascending; rows of one doc_id are in the order of their texts, a null doc_id
-    comes first, and the first row follows the last. A null text is empty. The rows are range-sorted by doc_id; a task keeps its first
+    comes first, and the first row follows the last. A null text is empty. Other columns of docs aren't kept, whatever their names. The rows are range-sorted by doc_id; a task keeps its first
     row, and its last waits in a written table for the first row of the next task.
     """
     kind = docs.schema[doc_id].dataType
@@ -169,7 +170,7 @@ def compare_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ch
 
 
 def signatures(docs: DataFrame, text: str = "text", keep: list[str] | None = None, chain: int = CHAIN) -> DataFrame:
-    """docs with spots: the sorted signatures, as longs, of each text."""
+    """docs (the columns in keep) with spots: the sorted signatures, as longs, of each text; none for a null text or one without words. A column spots of docs is replaced."""
 
     def make():
         spots = Spots(chain)

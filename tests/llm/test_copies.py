@@ -173,6 +173,7 @@ def test_spots():
     assert len(spots.of(a)) == 3 and np.array_equal(spots.of(a), spots.of(a.upper() + "!"))
     assert len(spots.of("")) == 0 and len(spots.of(None)) == 0 and len(spots.of("word")) == 1
     assert len(spots.of("北京 上海 广州 深圳 天津")) > 1  # no anchor: each word is one
+    assert ss.likeness(spots.of("北京上海广州深圳天津重庆"), spots.of("北京上海广州深圳天津成都")) > 0.4  # without spaces each sign is a word
     assert ss.likeness(spots.of(""), spots.of("")) == 1.0 and ss.likeness(spots.of(a), spots.of("")) == 0.0
     assert ss.likeness(np.array([1, 2, 3]), np.array([2, 3, 4])) == 0.5 and ss.likeness(np.array([1]), np.arange(1, 9), 0.5) == 0.0
 
