@@ -87,7 +87,11 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and the piece's part (its task) and lr (rank among the part's pieces of that length)."""
+    """doc_id, piece, start, length, ids_crc32 and the piece's part (its task) and lr (rank among the part's pieces of that length).
+
+    A null text has the end id only; repeated rows and null doc_ids have pieces of their own; an empty table has none. Other columns of docs aren't kept, whatever
+    their names.
+    """
     kind = docs.schema[doc_id].dataType
     schema = T.StructType([T.StructField("doc_id", kind)] + [T.StructField(n, t) for n, t in (("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("part", T.IntegerType()), ("lr", T.LongType()))])
     end = int(end_id).to_bytes(4, "little")
@@ -112,7 +116,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     """A row for each piece of each document: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null text is empty: its one piece is the end id. Repeated rows are packed as often as they occur; a null doc_id stays
-    null. An empty table gives no rows. Only documents of more ids than the capacity are cut.
+    null. An empty table gives no rows. Other columns of docs aren't kept. Only documents of more ids than the capacity are cut.
     """
     spark = docs.sparkSession
     pieces = written(pieces_of(docs, tokenizer, capacity, end_id, doc_id, text), "pieces")

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomery.llm.shared import written
+from loomery.llm.shared import forget, written
 
 #: Given names whose gender is plain, by gender and script: those that are detected.
 GIVEN = {
@@ -254,9 +254,11 @@ def _settled(real: DataFrame, key: str, attempts: int, more: list[str]) -> DataF
         taken = now.join(real.select("kind", F.col("normal").alias("new")), ["kind", "new"], "left_semi").select("kind", "normal")
         bad = written(clash.union(taken).distinct(), "clashes")
         if bad.limit(1).count() == 0:
+            forget(bad)
             return now
         moved = again(now.join(bad, ["kind", "normal"], "left_semi").select(*own, (F.col("attempt") + 1).alias("attempt")))
-        now = written(now.join(bad, ["kind", "normal"], "left_anti").select(*own, "attempt", "new").unionByName(moved), "surrogates")
+        old, now = now, written(now.join(bad, ["kind", "normal"], "left_anti").select(*own, "attempt", "new").unionByName(moved), "surrogates")
+        forget(old, bad)
     raise RuntimeError("a format has too few surrogates for its entities")
 
 

@@ -36,11 +36,38 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_tables: dict[int, tuple[DataFrame, str]] = {}
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read again: its rows stay the same when executors are lost."""
+    """df written to the shared folder and read again: its rows stay the same when executors are lost. forget() deletes it, the end of the process at the latest."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _tables[id(out)] = out, path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes what written() made, once nothing that is still to be computed reads it. Other tables stay."""
+    for df in tables:
+        found = _tables.pop(id(df), None)
+        if found:
+            _delete(found[0].sparkSession._jvm, found[1])
+
+
+def _delete(jvm, path: str) -> None:
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
+
+
+@atexit.register
+def _forget_all() -> None:
+    """Tables that results were read from until the end. A session that is gone, or a store that needs its settings, leaves them to the deployment."""
+    try:
+        forget(*[df for df, _ in _tables.values()])
+    except Exception:  # the process ends; the folder is the deployment's
+        return
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomery.llm.shared import map_text, written
+from loomery.llm.shared import forget, map_text, written
 
 SEED = 42
 BITS = 64
@@ -40,7 +40,7 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: list[str] | None = None, words: int = 3) -> DataFrame:
-    """docs with the column fp, of long. A null text is empty; the fingerprint of a text without words is 0."""
+    """docs (the columns in keep) with the column fp, of long. A null text is empty; the fingerprint of a text without words is 0. Repeated rows stay; a column fp of docs is replaced; an empty table stays empty."""
     return map_text(docs, [("fp", T.LongType())], lambda: lambda texts: [[fingerprint(x, words) for x in texts]], text, keep)
 
 
@@ -122,7 +122,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         joined = down.join(least, "u")
         small = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m").toDF("a", "b"))
-        now = written(small.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        old, now = now, written(small.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        forget(old)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             break

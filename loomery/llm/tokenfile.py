@@ -27,7 +27,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
     """Writes part, doc_id, local_start, n_tokens, ids for each document, sorted by doc_id.
 
     A null text is empty and has the end id only. A null doc_id comes first; rows of the same doc_id are in the order
-    of their texts, repeated rows included. An empty table gives files without rows. parts: by default the session's shuffle partitions.
+    of their texts, repeated rows included. An empty table gives files without rows. Other columns of docs aren't written, whatever their names. parts: by default the session's shuffle partitions.
     """
     n = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[doc_id].dataType
@@ -68,7 +68,7 @@ def bases(spark: SparkSession, path: str) -> dict[int, int]:
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids."""
+    """doc_id, start (ids of all documents before it), n_tokens, ids; no rows for files without any. Rows are as they were written: repeats, null doc_ids and end ids included."""
     first = spark.sparkContext.broadcast(bases(spark, path))
     rows = spark.read.parquet(path)
     schema = T.StructType([rows.schema["doc_id"], T.StructField("start", T.LongType()), *[rows.schema[c] for c in ("n_tokens", "ids")]])
@@ -82,7 +82,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_digest(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit), all from the files."""
+    """doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit), all from the files, a row for each that was written."""
     first = spark.sparkContext.broadcast(bases(spark, path))
     rows = spark.read.parquet(path)
     schema = T.StructType([rows.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("start", "n_tokens", "ids_crc32")]])

@@ -176,7 +176,10 @@ def score(docs: DataFrame, model: tuple, text: str = "text", keep: list[str] | N
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents with a score under the threshold, with their columns as they are."""
+    """The documents with a score under the threshold, with their columns as they are.
+
+    Rows of one text go or stay together; a null or empty text has the model's bias as its score. Without labels none goes. An empty table stays empty.
+    """
     model = train(docs, labels)
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     kept = score(plain, model, f"c{docs.columns.index('text')}").where(F.col("score") < threshold)

@@ -243,6 +243,94 @@ def test_pipeline(shared):
     assert cp.drop_near_duplicates(shared, docs, SF).count() == docs.count() and cp.drop_contaminated(shared, docs, SF).count() == docs.count()
 
 
+@pytest.mark.skipif(not Path(SF).exists(), reason="the driver's tables are not here")
+def test_pipeline_by_brute_force(shared):
+    """Each stage on its own input against plain loops."""
+    from collections import Counter
+
+    import corpus_pipeline as cp
+    from test_copies import brute_fp, brute_lines, linked
+    from test_search import brute
+
+    from loomery.llm import toxicity
+
+    docs, labels = shared.read.parquet(f"{SF}/documents.parquet"), shared.read.parquet(f"{SF}/labels.parquet")
+    rows = lambda df: {r.doc_id: r.text for r in df.select("doc_id", "text").collect()}
+    start = rows(docs)
+    kept = cp.drop_toxic(shared, docs, SF)
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.train(docs, labels), keep=["doc_id"]).collect()}
+    first = rows(kept)
+    assert first == {i: x for i, x in start.items() if scores[i] < 0.7}
+    lines = cp.dedup_lines(shared, kept, SF)
+    second = rows(lines)
+    assert second == brute_lines(sorted(first.items())) and {r.doc_id: r.n_chars for r in lines.collect()} == {i: len(x) for i, x in second.items()}
+    apart = cp.drop_near_duplicates(shared, lines, SF)
+    third = rows(apart)
+    fps = {i: brute_fp(x) for i, x in second.items()}
+    root = linked(sorted(set(fps.values())))
+    least: dict = {}
+    for i in sorted(fps):
+        least.setdefault(root[fps[i]], i)
+    assert third == {i: second[i] for i in least.values()}
+    clean = cp.drop_contaminated(shared, apart, SF)
+    bench = [(r.item_id, r.text) for r in shared.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    fourth = rows(clean)
+    windows = [(i, x) for i, x in bench if x]
+    grams = {g for _, x in windows for g in _grams(x)}
+    assert fourth == {i: x for i, x in third.items() if not any(g in grams for g in _grams(x))}
+    some = sorted(set(third) - set(fourth))[:2]
+    assert all(brute(third[i], windows)[1] > 0 for i in some)
+    pieces = cp.pack(shared, clean, SF).collect()
+    fill = Counter()
+    for r in pieces:
+        fill[r.sequence_id] += r.length
+    assert max(fill.values()) <= 1024 and {r.doc_id for r in pieces} == set(fourth)
+    total = sum(fill.values())
+    assert len(fill) <= -(-total // 1024) * 1.02 + 1
+
+
+def _grams(text):
+    """Runs of ten words; the tables' items have no fewer."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[k : k + 10]) for k in range(len(w) - 9)}
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="the driver's tables are not here")
+def test_pages_by_brute_force(shared):
+    """The article element of each page, cut by a pattern of its own."""
+    import html
+
+    def article(page):
+        inner = re.sub(r"<br\s*/?>", " ", re.search(r"<article>(.*?)</article>", page, re.S)[1])
+        blocks = (" ".join(html.unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in re.split(r"</?(?:p|h1)[^>]*>", inner))
+        return "\n".join(b for b in blocks if b)
+
+    pages = shared.read.parquet(f"{SF}/pages.parquet")
+    got = {r.page_id: r.text for r in hw.main_text(pages, keep=["page_id"]).collect()}
+    assert got == {r.page_id: article(r.html) for r in pages.collect()}
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="the driver's tables are not here")
+def test_surrogates_by_brute_force(shared):
+    """Plain patterns find nothing of the old values in the new texts; equal values have equal surrogates, others others, and the text between stays."""
+    kinds = [r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+", r"\b\d{3}-\d{2}-\d{4}\b", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", r"\(\d{3}\) ?\d{3}-\d{4}", r"\b[3-6]\d{3}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}\b"]
+    docs = shared.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    old = {r.doc_id: r.text for r in docs.collect()}
+    new = {r.doc_id: r.text for r in pii.replace_pii(docs, "key").collect()}
+    found = 0
+    for kind in kinds:
+        pairs: dict = {}
+        for i, x in old.items():
+            a, b = re.findall(kind, x, re.A), re.findall(kind, new[i], re.A)
+            assert len(a) == len(b), (kind, i)
+            for p, q in zip(a, b, strict=True):
+                assert p != q and pairs.setdefault(p.lower(), q.lower()) == q.lower()
+                assert re.sub("[A-Za-z0-9]", "", p.split("@")[0]) == re.sub("[A-Za-z0-9]", "", q.split("@")[0])  # the format stays
+        assert len(set(pairs.values())) == len(pairs) and not set(pairs) & set(pairs.values())
+        found += len(pairs)
+    assert found > 5
+
+
 @pytest.mark.skipif(not Path(SF).exists(), reason="the driver's tables are not here")
 @pytest.mark.parametrize("name", ["op3_decontamination", "op8_line_dedup"])
 def test_oracle(shared, name):
