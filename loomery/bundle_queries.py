@@ -200,18 +200,33 @@ case when maths then 'So  and $x_2$ cost $5 or $y^2$.' || chr(10) || chr(10) ||
 else '![One](' || image || ')![](' || image || ')![](data:x)![](http://h.org/d/b.png)![Sign](figures/SVG)' end as markdown from w""")
 def page_markdown(spark, sf_dir):
     """The chrome strip takes scripts out, those with formulas too."""
-    found = html.extract_pages(_web_pages(spark, sf_dir))
+    found = html.extract_pages(_web_pages(spark, sf_dir), "chrome-strip")
     return found.select("page_id", F.regexp_replace("markdown", r"svg_001_[0-9a-f]{8}\.svg", "SVG").alias("markdown"))
 
 
 @query(WEB + """select page_id, case when maths then '' else '1:' || image || ',4:http://h.org/d/b.png' end as images, cast(case when maths then 0 else 5 end as bigint) as found, cast(case when maths then 0 else 1 end as bigint) as skipped, cast(case when maths then 1 else 0 end as bigint) as katex, cast(0 as bigint) as mathjax_script,
 cast(case when maths then 1 else 0 end as bigint) as mathml, cast(case when maths then 2 else 0 end as bigint) as raw_delim, cast(case when maths then 0 else 1 end as bigint) as inline_svgs, ' Og ' as og, 'Au' as author, 'en' as lang from w""".replace("' Og '", "'Og'"))
 def page_counters(spark, sf_dir):
-    found = html.extract_pages(_web_pages(spark, sf_dir))
+    found = html.extract_pages(_web_pages(spark, sf_dir), "chrome-strip")
     shown = F.array_join(F.transform("images", lambda x: F.concat(x["ord"].cast("string"), lit(":"), x["absolute"])), ",")
     return found.select("page_id", shown.alias("images"), *[F.col(f"counts.{c}").cast("long").alias(c) for c in ("found", "skipped", "katex", "mathjax_script", "mathml", "raw_delim", "inline_svgs")], F.col("meta")["og:title"].alias("og"), F.col("meta")["author"].alias("author"), "lang")
 
 
+@query(PARTS + r"""select k as page_id, case when k % 3 = 2 then 'chrome-strip' else 'readability' end as extractor,
+case when k % 3 = 2 then 'Side text, of ' || name || ', is here, and long enough to count.' || chr(10) || chr(10) else '' end || 'First paragraph of ' || name || ', which is long, and has commas.' || chr(10) || chr(10) || 'Second one, about the same, of ' || k || ', with ![P](http://h.org/p.png) in it.'
+|| case when k % 3 = 1 then chr(10) || chr(10) || '- an item of a list' || chr(10) || '- another item of it' else '' end || case when k % 3 = 2 then chr(10) || chr(10) || repeat('![](http://h.org/x.png)', 5) else '' end as markdown from p""")
+def readable_pages(spark, sf_dir):
+    """The densest box without the side bar; a page that would lose nearly all of many images is stripped of chrome instead."""
+    k = F.col("k")
+    side = F.concat(lit('<div class="{}"><p>Side text, of ').alias("s"), "name", lit(", is here, and long enough to count.</p></div>"))
+    text_ = F.concat(lit("<p>First paragraph of "), "name", lit(", which is long, and has commas.</p><p>Second one, about the same, of "), k.cast("string"), lit(', with <img src="/p.png" alt="P"> in it.</p>'))
+    side = F.replace(side, lit("{}"), F.when(k % 3 == 2, "side").otherwise("sidebar"))
+    box = F.concat(lit('<div class="post">'), text_, F.when(k % 3 == 1, "<ul><li>an item of a list</li><li>another item of it</li></ul><div class='widget'>Buy, buy, buy</div>").otherwise(""), lit("</div>"))
+    more = F.when(k % 3 == 2, F.concat(lit("<div>"), F.repeat(lit('<img src="/x.png">'), 5), lit("</div>"))).otherwise("")
+    rows = _parts(spark, sf_dir).select(k.alias("page_id"), lit("http://h.org/a").alias("url"), F.concat(lit("<html><body>"), side, box, more, lit("<footer><a href='/'>End</a></footer></body></html>")).alias("html"))
+    return html.extract_pages(rows).select("page_id", "extractor", "markdown")
+
+
 # ---- videos and books ----
 
 

@@ -401,7 +401,7 @@ def html_metadata(spark, sf_dir):
 
 @query()
 def chrome_strip_stats(spark, sf_dir):
-    found = html.extract_pages(_raw_pages(spark, sf_dir))
+    found = html.extract_pages(_raw_pages(spark, sf_dir), "chrome-strip")
     return found.select("page_id", F.length("markdown").cast("long").alias("n_chars"), t.word_count(F.col("markdown")).alias("n_words"), F.size("images").alias("n_images"), F.col("counts.raw_delim").alias("raw_delim"), "extractor")
 
 

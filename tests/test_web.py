@@ -16,7 +16,7 @@ def test_links(spark):
 
 
 def extract(text, base="http://s.org/p"):
-    return html.extract(text, base)
+    return html.extract(text, base, "chrome-strip")
 
 
 def test_content_and_markdown():
@@ -70,3 +70,15 @@ def test_bundles(spark):
     assert web.web_bundle(page).first().content.endswith("# u\n\na\n\nb\n")
     staged = web.stage_source(spark.createDataFrame([("bundle", "s", None, "---\ntitle: \"My\"\n---\n![a](x.png) ![b](http://y) ![c](z.png)", ["x.png"], "d")], "name string, slug string, title string, content string, files array<string>, staged string")).first()
     assert "# Source: My" in staged.text and "![a](../assets/s/x.png) ![b](http://y) ![c](z.png)" in staged.text and staged.copied == 1
+
+
+def test_readability():
+    text = "A paragraph of the article, which has commas, and is long enough. " * 3
+    side, note = "Side text, also with commas, and long enough to count here.", "Noted, here, at some length, and more."
+    page = f"<body><div class='sidebar'><p>{side}</p></div><div id='content'><p>{text}</p><p>{text}<img src='/a.png'></p><svg><title>S</title></svg><div class='promo'>{note}</div><form>f</form></div><div><a href='/'>all links here</a></div></body>"
+    x = html.extract(page, "http://s.org/p")
+    assert x["extractor"] == "readability" and text.strip() in x["markdown"] and "http://s.org/a.png" in x["markdown"] and x["svgs"]
+    assert not any(s in x["markdown"] for s in (side, note, "all links", "f\n"))
+    many = f"<body><div><p>{text}</p></div><div class='footnote'>" + "<img src='/b.png'>" * 6 + "</div></body>"
+    assert html.extract(many, "http://s.org/p")["extractor"] == "chrome-strip"  # its images would be lost
+    assert html.extract("<p>short</p>", None)["extractor"] == "chrome-strip" and html.extract(None, None)["markdown"] == ""
