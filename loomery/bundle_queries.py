@@ -537,6 +537,16 @@ def vault_files(spark, sf_dir):
     return _gathered(spark, folder, own, reduce(DataFrame.union, found))
 
 
+@query("select true as made, false as again, cast(0 as bigint) as nodes, cast(16 as bigint) as predicates")
+def vault_start(spark, sf_dir):
+    """An empty vault is made where there is none; a second time nothing is done."""
+    folder, own = _folder(spark)
+    made, again = sinks.init_vault(spark, folder), sinks.init_vault(spark, folder)
+    vault = sources.read_vault(spark, folder)
+    counts = vault["nodes"].agg(F.count("*").alias("nodes")).select(lit(made).alias("made"), lit(again).alias("again"), "nodes", lit(vault["predicates"].count()).cast("long").alias("predicates"))
+    return _gathered(spark, folder, own, counts)
+
+
 @query(PARTS + """select 'p' || k as name, 'from' || size as from_type, k % 2 = 0 as is_typed from p where k % 2 = 0 union all select 'p' || k, '*', false from p where k % 2 = 1""")
 def schema_predicates(spark, sf_dir):
     one = F.when(F.col("k") % 2 == 0, F.concat(lit('{"from_type": "from'), F.col("size").cast("string"), lit('", "to_type": "t"}'))).otherwise(lit('"words"'))

@@ -136,8 +136,14 @@ def synonym_candidates(nodes: DataFrame, edges: DataFrame, distance: int = 2, ov
     near = alike_titles.join(side("a"), "ta").join(side("b"), "tb").where((F.col("ca") < F.col("cb")) & (F.col("sa") != F.col("sb")))
     out = edges.groupBy("corpus", F.col("from").alias("slug")).agg(F.collect_set("to").alias("targets")).join(concept, ["corpus", "slug"], "left_semi").withColumn("n", F.size("targets"))
     long = out.select("corpus", "slug", "n", F.explode("targets").alias("t"))
-    shared = long.toDF("ca", "sa", "na", "t").join(long.toDF("cb", "sb", "nb", "t"), "t").where("ca < cb and sa != sb").groupBy("ca", "sa", "na", "cb", "sb", "nb").agg(F.count("*").alias("k"))
-    alike = shared.where(F.col("k") / (F.col("na") + F.col("nb") - F.col("k")) >= overlap)
+    # sets that share so much share one of each other's rarest targets: a popular target brings nodes together only if they have no rarer one
+    rarity = long.groupBy("t").agg(F.count("*").alias("df"))
+    rarest = F.slice(F.array_sort(F.collect_list(F.struct("df", "t"))), F.lit(1), F.first("n") - F.ceil(F.first("n") * overlap).cast("int") + 1)
+    index = long.join(rarity, "t").groupBy("corpus", "slug").agg(F.first("n").alias("n"), rarest.alias("r")).select("corpus", "slug", "n", F.explode("r.t").alias("t"))
+    met = index.toDF("ca", "sa", "na", "t").join(index.toDF("cb", "sb", "nb", "t"), "t").where((F.col("ca") < F.col("cb")) & (F.col("sa") != F.col("sb")) & (F.least("na", "nb") >= F.lit(overlap) * F.greatest("na", "nb"))).select("ca", "sa", "cb", "sb").distinct()
+    sets = out.select("corpus", "slug", "targets")
+    shared = met.join(sets.toDF("ca", "sa", "ta"), ["ca", "sa"]).join(sets.toDF("cb", "sb", "tb"), ["cb", "sb"]).withColumn("k", F.size(F.array_intersect("ta", "tb")))
+    alike = shared.where(F.col("k") / (F.size("ta") + F.size("tb") - F.col("k")) >= overlap)
     both = near.select("a", "b", F.lit("title").alias("reason")).unionByName(alike.select(F.concat("ca", F.lit("/"), "sa").alias("a"), F.concat("cb", F.lit("/"), "sb").alias("b"), F.lit("targets").alias("reason")))
     return both.groupBy("a", "b").agg(F.array_join(F.array_sort(F.collect_set("reason")), "+").alias("reason"))
 

@@ -328,12 +328,17 @@ def strongest_predicate(spark, sf_dir):
     return merge.strongest_predicate(d.edges(spark, sf_dir), ["defines", "introduces", "discusses"])
 
 
-@query("""with c as (select case when p_partkey % 2 = 0 then 'even' else 'odd' end as corpus, 'c' || p_partkey as slug, lower(p_brand || ' ' || p_partkey) as title from part)
-select a.corpus || '/' || a.slug as a, b.corpus || '/' || b.slug as b, 'title' as reason from c a join c b on a.corpus < b.corpus and a.slug <> b.slug where levenshtein(a.title, b.title) <= 1""")
+@query("""with c as (select p_partkey as k, case when p_partkey % 2 = 0 then 'even' else 'odd' end as corpus, 'c' || p_partkey as slug, lower(p_brand || ' ' || p_partkey) as title from part),
+x as (select a.corpus || '/' || a.slug as a, b.corpus || '/' || b.slug as b, levenshtein(a.title, b.title) <= 2 as near, (a.k // 4 = b.k // 4)::int + (a.k // 6 = b.k // 6)::int + (a.k // 10 = b.k // 10)::int >= 2 as alike from c a join c b on a.corpus < b.corpus)
+select a, b, case when near and alike then 'targets+title' when near then 'title' else 'targets' end as reason from x where near or alike""")
 def synonym_candidates(spark, sf_dir):
-    nodes = d.table(spark, sf_dir, "part").select(F.when(F.col("p_partkey") % 2 == 0, "even").otherwise("odd").alias("corpus"), F.concat(F.lit("c"), "p_partkey").alias("slug"), F.concat("p_brand", F.lit(" "), "p_partkey").alias("title"), F.lit("concept").alias("type"))
-    none = spark.createDataFrame([], "corpus string, `from` string, `to` string")
-    return reconcile.synonym_candidates(nodes, none, distance=1)
+    k = F.col("p_partkey")
+    corpus, slug = F.when(k % 2 == 0, "even").otherwise("odd").alias("corpus"), F.concat(F.lit("c"), "p_partkey")
+    part = d.table(spark, sf_dir, "part")
+    nodes = part.select(corpus, slug.alias("slug"), F.concat("p_brand", F.lit(" "), "p_partkey").alias("title"), F.lit("concept").alias("type"))
+    targets = F.array(*[F.concat(F.lit(x), F.floor(k / n).cast("string")) for x, n in (("a", 4), ("b", 6), ("c", 10))])
+    edges = part.select(corpus, slug.alias("from"), F.explode(targets).alias("to"))
+    return reconcile.synonym_candidates(nodes, edges)
 
 
 PROMOTE = GRAPH.replace("\nnodes", "with nodes", 1) + """, pairs as (select 'concept-' || p_partkey as a, 'concept-' || (p_partkey + 1) as b from part where p_partkey % 2 = 1),
