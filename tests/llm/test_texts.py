@@ -206,6 +206,45 @@ def test_names_of_classes_alone_drop_nothing():
     assert hw.extract(body, hw.Judge(root, [mark])) == want
 
 
+TEMPLATES = {
+    "article": "<nav><a href=/>{m}</a></nav><article>{a}</article><footer>{f}</footer>",
+    "main": "<header><h1>Site</h1></header><main>{a}</main><aside>{s}</aside><footer>F {f}</footer>",
+    "content": "<div id='header'>Site name</div><div class='menu'><ul><li><a href=/>Home</a></li><li><a href=/x>{m}</a></li></ul></div><div class='content'>{a}<div class='ad'>{s}</div></div><div class='sidebar'><p>{s}</p></div><div id='footer'>{f}</div>",
+    "comments": "<article>{a}<div class='advert'>{s}</div></article><section id='comments'><h3>Comments</h3><ol class='comment-list'><li><p>{s}</p></li><li><p>{f}</p></li></ol><form><textarea>x</textarea><button>Send</button></form></section>",
+    "unnamed": "<div class='c1'><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul></div><div class='c2'>{a}</div><div class='c3'><p>All rights reserved, Company 2024.</p></div>",
+    "cookie": "<div class='cookie-banner'><p>We use cookies, {f}</p><button>OK</button></div><div class='wrap'><div class='post'>{a}</div><div class='notice'>Note {s}</div></div>",
+    "nested": "<div id='page'><div id='main'><div class='article-body'>{a}</div></div><div class='widget-area'><div class='related-posts'><ul><li><a href=/1>{s}</a></li><li><a href=/2>{f}</a></li></ul></div></div></div>",
+    "inside": "<main><article>{a}<section class='comments'><p>{s}</p><p>{f}</p></section></article></main>",
+}
+
+
+@pytest.mark.parametrize("name", TEMPLATES)
+@pytest.mark.parametrize("count", [1, 3, 12])
+def test_templates(name, count):
+    """Made-up articles of headings, paragraphs, lists and quotes in templates of many kinds come out as they went in."""
+    import random
+
+    r = random.Random(f"{name}{count}")
+    words = "river stone lamp cloud paper table green walk seven night bread glass".split()
+    sentence = lambda n: " ".join(r.choice(words) for _ in range(n)).capitalize() + "."
+    pages = []
+    for _ in range(count):
+        out = [sentence(4)]
+        html = f"<h1>{out[0]}</h1>"
+        for k in range(r.randint(1, 8)):
+            kind = r.choice(("p", "p", "p", "h2", "blockquote", "ul"))
+            own = [sentence(r.randint(8, 60))] if kind in ("p", "blockquote") or not k else [sentence(3) for _ in range(1 if kind == "h2" else 3)]
+            html += {"h2": "<h2>{}</h2>", "blockquote": "<blockquote><p>{}</p></blockquote>"}.get(kind, "<p>{}</p>").format(own[0]) if len(own) == 1 else "<ul>" + "".join(f"<li>{x}</li>" for x in own) + "</ul>"
+            out += own
+        pages.append((f"<html><head><title>x</title></head><body>{TEMPLATES[name].format(a=html, m=sentence(2), f=sentence(5), s=sentence(12))}</body></html>", "\n".join(out)))
+    wrapper, marks = None, []
+    for x, _ in pages:
+        root, _, mark = hw.page(x)
+        wrapper, marks = hw.trimmed(root) if wrapper is None else hw.meet(wrapper, root), hw._least(marks, [mark])
+    judged = hw.Judge(wrapper, marks)
+    assert [hw.extract(x, judged) for x, _ in pages] == [text for _, text in pages]
+
+
 def unnamed(i, text):
     return f"<html><body><div><div><p>The Paper</p><p>Home</p><p>News</p><p>Sport and all that is going on around the town today</p></div><div><h1>Headline {i}</h1><div>{text}<div>Read our terms of use before writing to us.</div></div></div><div>Printed by us, in the town, for all who live there and beyond it.</div></div></body></html>"
 
