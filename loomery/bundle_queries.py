@@ -312,6 +312,51 @@ def latex_checks(spark, sf_dir):
     return pdf.latex_warnings(rows)
 
 
+@query(PAGES + """, z as (select book, max(n) as m from pg group by book), r as (select *, greatest(floor(m * 0.15), 5) as lo from z), y as (select *, greatest(m - 2, lo + 1) as hi from r), x as (select *, greatest(floor((hi - lo) / 20), 1) as step from y),
+f as (select book, n as physical, n - 4 - case when doc_id % 7 = 0 then 1 else 0 end as folio from pg join x using (book) where n - 1 >= lo and n - 1 < hi and (n - 1 - lo) % step = 0)
+select * from (select book, row_number() over (partition by book order by physical) as rank, physical, cast(folio as bigint) as folio, cast(physical - folio as bigint) as delta from f where folio between 1 and 9999) where rank <= 5""")
+def delta_evidence(spark, sf_dir):
+    folio = F.col("page_num") - 4 - F.when(F.col("doc_id") % 7 == 0, 1).otherwise(0)
+    pages = _book_pages(spark, sf_dir).withColumn("text", F.concat("text", lit("\n"), folio.cast("string")))
+    return book.delta_evidence(pages, 5).select("book", *[F.col(c).cast("long").alias(c) for c in ("rank", "physical", "folio", "delta")])
+
+
+@query("""with p as (select doc_id, source, length(regexp_replace(regexp_replace(coalesce(text, ''), '^\\s+', ''), '\\s+$', '')) as chars, doc_id % 3 as images from documents),
+t as (select *, case when chars < 50 and images >= 1 then 'scanned' when chars > 200 then 'native' else 'mixed' end as type from p)
+select source as doc_group, doc_id as page_num from (select *, bool_and(type = 'native') over (partition by source) as clean from t) where clean or type <> 'native'""".replace("\\\\", "\\"))
+def render_worklist(spark, sf_dir):
+    """Where no candidate is good enough."""
+    profiles = pdf.profile_pages(d.pdf_pages(spark, sf_dir))
+    docs = pdf.profile_docs(profiles)
+    strategies = F.explode(F.array(*[lit(x) for x in ("pymupdf", "marker", "nougat", "ocr")]))
+    bad = docs.select("doc_group", strategies.alias("strategy"), lit("!!!!!!! " * 3).alias("text"))
+    return pdf.render_worklist(pdf.run_ladder(docs, bad, threshold=1.1), profiles)
+
+
+@query(REGIONS + """select 'book' as kind, 'b' || rk as book, region as title, 10 as n from r union all select 'entry', 'b' || rk, nation, cast(nk + 1 as integer) from n""")
+def outlines(spark, sf_dir):
+    regions, nations = _regions(spark, sf_dir)
+    lists = nations.groupBy("rk").agg(F.transform(F.array_sort(F.collect_list(F.struct("nk", "nation"))), lambda x: F.array(lit("1"), x["nation"], (x["nk"] + 1).cast("string"))).alias("outline"))
+    files = regions.join(lists, "rk").select(text(["b"], "rk").alias("book"), F.to_json(F.struct(F.struct(F.col("region").alias("title"), lit("").alias("author")).alias("metadata"), lit(10).alias("page_count"), "outline")).alias("text"))
+    books, entries = sources.read_outlines(files)
+    return books.select(lit("book").alias("kind"), "book", "title", F.col("page_count").alias("n")).unionByName(entries.select(lit("entry").alias("kind"), "book", "title", F.col("page").cast("int").alias("n")))
+
+
+@query("select true as first, false as second, false as empty, count(*) as n, 'i1,i2' as ingests from (select 1 from region union all select 1 from nation)")
+def ingests(spark, sf_dir):
+    """Two ingests, one of them tried twice, and an empty one."""
+    regions, nations = _regions(spark, sf_dir)
+    folder, own = _folder(spark)
+    path = f"{folder}/table"
+    rows = regions.select(F.col("rk").cast("long").alias("k"))
+    first, second = sinks.ingest(rows, path, "i1"), sinks.ingest(rows, path, "i1")
+    sinks.ingest(nations.select(F.col("nk").cast("long").alias("k")), path, "i2")
+    empty = sinks.ingest(rows.limit(0), path, "i3")
+    table = spark.read.parquet(path)
+    counts = table.agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("ingest")), ",").alias("ingests"))
+    return _gathered(spark, folder, own, counts.select(lit(first).alias("first"), lit(second).alias("second"), lit(empty).alias("empty"), "n", "ingests"))
+
+
 # ---- LaTeX ----
 
 

@@ -113,3 +113,9 @@ def probe_record(books: DataFrame, region: DataFrame, deltas: DataFrame) -> Data
     joined = books.join(region, "book").join(deltas, "book", "left")
     fields = F.struct("source_pdf", F.col("book").alias("book_slug"), "page_count", F.array(F.col("lo") + 1, F.col("hi")).alias("toc_region_physical"), F.when(F.col("delta").isNotNull(), F.struct(F.col("delta"), F.col("confidence"))).alias("delta_suggestion"))
     return joined.select("book", F.to_json(fields).alias("record"))
+
+
+def delta_evidence(pages: DataFrame, n: int = 20) -> DataFrame:
+    """book, rank, physical, folio, delta: the first n samples of each book, which the probe shows."""
+    rank = F.row_number().over(Window.partitionBy("book").orderBy("physical"))
+    return folio_samples(pages).withColumn("rank", rank).where(F.col("rank") <= n).select("book", "rank", "physical", "folio", "delta")

@@ -85,3 +85,10 @@ def latex_warnings(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     bare = F.regexp_replace("m", r"\\.", "")
     depth = F.aggregate(F.split(F.regexp_replace(bare, r"[^{}]", ""), ""), F.struct(F.lit(0).alias("d"), F.lit(0).alias("low")), lambda a, x: F.struct((a["d"] + F.when(x == "{", 1).when(x == "}", -1).otherwise(0)).alias("d"), F.least(a["low"], a["d"] + F.when(x == "{", 1).when(x == "}", -1).otherwise(0)).alias("low")))
     return found.where((depth["d"] != 0) | (depth["low"] < 0)).select(key, F.substring("m", 1, 80).alias("snippet"))
+
+
+def render_worklist(results: DataFrame, profiles: DataFrame) -> DataFrame:
+    """doc_group, page_num: the pages of unreliable results (run_ladder) that someone has to look at: those that aren't native, or all if all are."""
+    unsure = profiles.join(results.where("unreliable and exit_code != 3").select("doc_group"), "doc_group", "left_semi")
+    mixed = unsure.where("type != 'native'").select("doc_group").distinct().withColumn("mixed", F.lit(True))
+    return unsure.join(mixed, "doc_group", "left").where("mixed is null or type != 'native'").select("doc_group", "page_num")

@@ -80,3 +80,40 @@ def overwrite(df: DataFrame, path: str) -> None:
 
 def create_if_missing(df: DataFrame, path: str) -> None:
     df.write.mode("ignore").parquet(path)
+
+
+def write_vault(files: DataFrame, nodes: DataFrame, edges: DataFrame, root: str) -> None:
+    """The pages (path, text) and the graph of a merged vault; other files stay."""
+    write_files(files, root)
+    write_text(graph_json(nodes, edges), f"{root.rstrip('/')}/graph.json")
+
+
+def write_root(nodes: DataFrame, edges: DataFrame, report: DataFrame | None, root: str) -> None:
+    """The root graph of several vaults and, as one row's text, the report on it."""
+    write_text(graph_json(nodes, edges), f"{root.rstrip('/')}/graph.json")
+    if report is not None:
+        write_text(report, f"{root.rstrip('/')}/CONNECTIONS.md")
+
+
+def copy_once(spark, source: str, folder: str) -> str:
+    """The path of the file's copy in the folder, which is made if it isn't there."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    origin = jvm.org.apache.hadoop.fs.Path(source)
+    target = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{origin.getName()}")
+    store = target.getFileSystem(conf)
+    if not store.exists(target):
+        store.mkdirs(target.getParent())
+        jvm.org.apache.hadoop.fs.FileUtil.copy(origin.getFileSystem(conf), origin, store, target, False, conf)
+    return target.toString()
+
+
+def ingest(df: DataFrame, path: str, ingest_id: str) -> bool:
+    """One ingest is one partition of the table at path, written as a whole or not at all. False, and nothing done, where it is there or has no rows."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target = f"{path.rstrip('/')}/ingest={ingest_id}"
+    done = jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
+    if done.getFileSystem(conf).exists(done) or df.isEmpty():
+        return False
+    df.write.mode("overwrite").parquet(target)
+    return True

@@ -76,6 +76,14 @@ def atom_metadata(feeds: DataFrame) -> DataFrame:
     return e.select("arxiv_id", line("title").alias("title"), F.transform("author", lambda a: t.strip(a["name"])).alias("authors"), line("summary").alias("abstract"), F.col("primary_category._term").alias("primary_class"), F.transform("category", lambda c: c["_term"]).alias("categories"), F.nullif(F.regexp_extract(url, r"v([^v/]*)$", 1), F.lit("")).alias("version"), url.alias("abs_url"))
 
 
+def read_outlines(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(books, entries) of the JSON that a PDF reader leaves for each book (book, text): title, author, page_count, outline [[level, title, page], ...]."""
+    parsed = files.select("book", F.from_json("text", "metadata struct<title:string,author:string,subject:string>, page_count int, outline array<array<string>>").alias("j"))
+    books = parsed.select("book", *[F.nullif(F.col(f"j.metadata.{c}"), F.lit("")).alias(c) for c in ("title", "author", "subject")], F.col("j.page_count").alias("page_count"))
+    entries = parsed.select("book", F.posexplode("j.outline").alias("idx", "e"))
+    return books, entries.select("book", F.col("idx").cast("long").alias("idx"), F.get("e", F.lit(0)).cast("int").alias("level"), F.get("e", F.lit(1)).alias("title"), F.get("e", F.lit(2)).cast("long").alias("page"))
+
+
 def unpack_sources(blobs: DataFrame) -> DataFrame:
     """bundle_id, file, text, content of source archives (bundle_id, content): tar.gz, one gzipped file, or one bare file."""
 
@@ -109,7 +117,7 @@ def not_ingested(bundles: DataFrame, done: DataFrame, key: str = "bundle_id") ->
 
 #: What needs a network, a renderer or a model: callers put its results in a table of the named columns.
 CAPABILITIES = {
-    "fetch a page": "pages(page_id, url, html)", "fetch arXiv metadata": "feeds(arxiv_id, xml)", "download an e-print": "blobs(bundle_id, content)",
+    "run a page's scripts": "pages(page_id, url, html)",
     "extract PDF text": "candidates(doc_group, strategy, text)", "render TeX or PDF": "pictures(bundle_id, seq, text)", "captions and speech": "segments(video_id, source, ord, start, end, text)",
     "write synthesis pages": "files(path, text)", "commit to version control": "none: writes replace whole tables",
 }

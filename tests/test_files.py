@@ -62,7 +62,7 @@ def test_idempotent(spark):
     one = spark.createDataFrame([(1,), (2,)], "bundle_id long")
     assert source.not_ingested(one, one.where("bundle_id = 1")).count() == 1
     with pytest.raises(NotImplementedError):
-        source.unavailable("fetch a page")
+        source.unavailable("run a page's scripts")
 
 
 def test_stream_equals_batch(spark, tmp_path):
