@@ -242,10 +242,10 @@ def entities(text: Column) -> Column:
     return F.transform(F.coalesce(F.regexp_extract_all(text, F.lit(_PATTERN), F.lit(0)), F.array().cast("array<string>")), _mentions)
 
 
-def _settled(real: DataFrame, key: str, attempts: int, more: list[str]) -> DataFrame:
-    """real (kind, normal and the columns in more) with attempt and new: no other row's, and no row's normal, within the kind."""
-    own = ["kind", "normal", *more]
-    again = lambda df: df.withColumn("new", surrogate(F.col("kind"), F.col("normal"), F.col("attempt"), key, *[F.col(c) for c in more]))
+def _settled(real: DataFrame, made: Column, attempts: int) -> DataFrame:
+    """real (kind, normal, host_attempt) with attempt and new, which made gives: no other row's, and no row's normal, within the kind."""
+    own = ["kind", "normal", "host_attempt"]
+    again = lambda df: df.withColumn("new", made)
     n = int(real.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but work in each row
     now = written(again(real.repartition(n, "kind", "normal").withColumn("attempt", F.lit(0))), "surrogates")
     for _ in range(attempts):
@@ -269,10 +269,11 @@ def assign(found: DataFrame, key: str, attempts: int = ATTEMPTS) -> DataFrame:
     can't keep so many entities distinct.
     """
     real = written(found.select("kind", "normal").distinct(), "entities")
-    hosts = _settled(real.where("kind = 'email'").select(F.lit("host").alias("kind"), _host_of(F.col("normal")).alias("normal")).distinct(), key, attempts, [])
+    made = surrogate(F.col("kind"), F.col("normal"), F.col("attempt"), key, F.col("host_attempt"))
+    hosts = _settled(real.where("kind = 'email'").select(F.lit("host").alias("kind"), _host_of(F.col("normal")).alias("normal"), F.lit(0).alias("host_attempt")).distinct(), made, attempts)
     by_host = real.withColumn("h", F.when(F.col("kind") == "email", _host_of(F.col("normal"))))
     placed = by_host.join(hosts.select(F.col("normal").alias("h"), F.col("attempt").alias("host_attempt")), "h", "left").select("kind", "normal", F.coalesce("host_attempt", F.lit(0)).alias("host_attempt"))
-    return _settled(placed, key, attempts, ["host_attempt"]).select("kind", "normal", "attempt", "new").unionByName(hosts)
+    return _settled(placed, made, attempts).unionByName(hosts).select("kind", "normal", "attempt", "new")
 
 
 def replace_pii(docs: DataFrame, key: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
