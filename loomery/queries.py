@@ -404,10 +404,16 @@ def html_metadata(spark, sf_dir):
     return web.metadata_of(html.extract_heads(_raw_pages(spark, sf_dir))).select("page_id", "url", "title", "language")
 
 
-@query()
+_BARE = "replace(replace(replace(replace(regexp_replace({0}, '<[^>]+>', '', 'g'), '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+
+
+@query(rf"""with a as (select page_id, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) as art, regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1) as ad from pages),
+n as (select *, list_sum(list_transform(regexp_split_to_array(art, '<[^>]+>'), lambda s: length(trim({_BARE.format("s")}, chr(32) || chr(10))))) as chars from a)
+select page_id, cast(length(regexp_replace({_BARE.format("art")} || case when chars > 500 then '' else {_BARE.format("ad")} end, '[^\pL]', '', 'g')) as bigint) as letters, 0 as n_images, 'chrome-strip' as extractor from n""")
 def chrome_strip_stats(spark, sf_dir):
+    """The letters of the content: the article's, or of a short one's page all but the chrome's."""
     found = html.extract_pages(_raw_pages(spark, sf_dir), "chrome-strip")
-    return found.select("page_id", F.length("markdown").cast("long").alias("n_chars"), t.word_count(F.col("markdown")).alias("n_words"), F.size("images").alias("n_images"), F.col("counts.raw_delim").alias("raw_delim"), "extractor")
+    return found.select("page_id", F.length(F.regexp_replace("markdown", r"[^\p{L}]", "")).cast("long").alias("letters"), F.size("images").alias("n_images"), "extractor")
 
 
 @query(rf"select page_id, cast(pos as bigint) as pos, {ORIGIN} || '/c?x=1' as up from (select page_id, url, unnest(range(1, len(refs) + 1)) as pos from (select page_id, url, regexp_extract_all(html, '<a\s[^>]*?href\s*=\s*\"([^\"]*)\"', 1) as refs from pages))")
