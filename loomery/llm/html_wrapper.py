@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomery.llm.shared import written
+
 #: Distinct articles whose pages show the same text in a slot, at least, before it counts as the template's.
 SUPPORT = 5
 #: Distinct articles of a host, those of the least hashes, nearly all of which must show it, and how many are nearly all.
@@ -724,10 +726,10 @@ def infer(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
         return pa.Table.from_batches([_emit({key[0].as_py(): (made, articles)}, key[1].as_py() if len(key) > 1 else 0)])
 
     rows = pages.select(_host(url).alias("host"), F.col(f"`{html}`").alias("html")).where("html is not null")
-    partial = rows.mapInArrow(own, _SCHEMA)
-    # no group is larger than about the root of the number of tasks
-    fan = max(2, math.isqrt(max(1, pages.rdd.getNumPartitions())))
-    first = partial.withColumn("part", F.col("part") % fan).groupBy("host", "part").applyInArrow(joined, _SCHEMA)
+    partial = written(rows.mapInArrow(own, _SCHEMA), "partial")
+    # no group is larger than about the root of the most wrappers that a host has, however many its tasks made
+    most = partial.groupBy("host").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    first = partial.withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(math.isqrt(most) + 1))).groupBy("host", "part").applyInArrow(joined, _SCHEMA)
     return first.groupBy("host").applyInArrow(joined, _SCHEMA)
 
 
@@ -737,8 +739,6 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", keep: list
     A null or empty html, or a page without an article, has the empty text. A null url is a host of its own. Rows repeat as they
     are; columns text and n_chars of pages are replaced. An empty table gives an empty one. Very long or deep pages are read whole.
     """
-    from loomery.llm.shared import written
-
     spark = pages.sparkSession
     wrappers = written(infer(pages, html, url).select("host", "wrapper"), "wrappers")
     kept = [c for c in (pages.columns if keep is None else keep) if c.lower() not in ("text", "n_chars")]
