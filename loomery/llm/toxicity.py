@@ -19,6 +19,8 @@ SAMPLE = 8_000
 BUCKETS = 1 << 18
 FACTORS = 4
 THRESHOLD = 0.7
+#: Most frequent terms whose pairs are looked at for an effect of their own, rows that each combination must have, and its size in standard errors.
+SCREENED, CELL, EFFECT = 256, 20, 8.0
 #: Lengths of the beginnings of words that are terms beside the words.
 STEMS = (3, 4, 5)
 #: Parts of a text's words from which on a word or beginning that occurs more than once is a further term.
@@ -61,7 +63,8 @@ class FactorizationMachine:
     """p = sigmoid(bias + sum of weights + sum over pairs of the products of their factors), over the terms that occur.
 
     Terms in fewer than `least` documents are left out. Weights follow the FTRL rule with an L1 term, which keeps those of
-    chance terms at zero. Factors follow AdaGrad and count for terms whose weights aren't zero: the number of pairs grows with
+    chance terms at zero. Factors follow AdaGrad and count for terms whose weights aren't zero, and for those of the most frequent terms
+    of which a pair says more than its two terms (paired): the number of pairs grows with
     the square of a text's terms, and chance pairs of a long text would drown the others.
     """
 
@@ -72,10 +75,11 @@ class FactorizationMachine:
         self.v = np.random.default_rng(seed).normal(0, 0.02, (buckets, factors))
         self.z, self.n, self.g = np.zeros(buckets), np.zeros(buckets), np.full((buckets, factors), 1e-2)
         self.used = np.zeros(buckets, dtype=bool)
+        self.paired = np.zeros(buckets, dtype=bool)
 
     def margin(self, ids: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         w = self.w[ids]
-        live = ids[w != 0]
+        live = ids[(w != 0) | self.paired[ids]]
         v = self.v[live]
         total = v.sum(axis=0)
         return self.bias + float(w.sum()) + 0.5 * float((total * total - (v * v).sum(axis=0)).sum()), live, total
@@ -92,6 +96,7 @@ class FactorizationMachine:
         for ids in rows:
             count[ids] += 1
         self.used = count >= self.least
+        self._screen(rows, np.array(labels, dtype=float), count)
         rows = [ids[self.used[ids]] for ids in rows]
         self.bias = float(np.log(share / (1 - share)))
         order = np.random.default_rng(11)
@@ -113,8 +118,29 @@ class FactorizationMachine:
                 self.z[ids], self.n[ids] = z, new
                 self.w[ids] = np.where(np.abs(z) <= self.l1, 0.0, -(z - np.sign(z) * self.l1) / ((1 + np.sqrt(new)) / self.alpha + self.l2))
 
+    def _screen(self, rows: list[np.ndarray], y: np.ndarray, count: np.ndarray) -> None:
+        """Marks the terms of pairs with an effect: the label's share with both and with neither against that with one of them."""
+        often = np.argsort(-np.minimum(count, len(rows) - count), kind="stable")[:SCREENED]
+        place = np.full(len(count), -1)
+        place[often] = np.arange(len(often))
+        x = np.zeros((len(rows), len(often)))
+        for k, ids in enumerate(rows):
+            at = place[ids]
+            x[k, at[at >= 0]] = 1
+        cells = []  # the rows and the labels of each combination
+        for a in (x, 1 - x):
+            for b in (x, 1 - x):
+                cells.append((a.T @ b, (a * y[:, None]).T @ b))
+        few = np.minimum.reduce([n for n, _ in cells]) < CELL
+        with np.errstate(divide="ignore", invalid="ignore"):
+            share = [(t + 0.5) / (n + 1) for n, t in cells]
+            error = np.sqrt(sum(p * (1 - p) / n for p, (n, _) in zip(share, cells, strict=True)))
+            strong = ~few & (np.abs(share[0] - share[1] - share[2] + share[3]) > EFFECT * error)
+        np.fill_diagonal(strong, False)
+        self.paired[often[strong.any(axis=1)]] = True
+
     def packed(self) -> tuple:
-        live = np.flatnonzero(self.w)
+        live = np.flatnonzero((self.w != 0) | self.paired)
         return self.bias, live, self.w[live].astype(np.float32), self.v[live].astype(np.float32)
 
 

@@ -87,6 +87,22 @@ def test_factorization_machine_learns_a_pair():
     assert all(abs(packed.score(x[model.used[x]]) - model.score(x)) < 1e-3 for x in rows[3000:3050])
 
 
+def test_factorization_machine_learns_a_pair_of_balanced_terms():
+    """Each term alone says nothing: a text is toxic with both or with neither."""
+    r = np.random.default_rng(5)
+    rows, labels = [], []
+    for _ in range(4000):
+        a, b = r.random() < 0.5, r.random() < 0.5
+        rows.append(np.unique(np.array(list(r.integers(1000, 60_000, 40)) + [7] * a + [9] * b)))
+        labels.append(int(a == b))
+    model = tx.FactorizationMachine()
+    model.learn(rows[:3000], labels[:3000])
+    right = np.mean([(model.score(x) >= 0.5) == y for x, y in zip(rows[3000:], labels[3000:], strict=True)])
+    assert right > 0.95 and set(np.flatnonzero(model.paired)) == {7, 9}
+    packed = tx.Scorer(model.packed())
+    assert all(abs(packed.score(x[model.used[x]]) - model.score(x)) < 1e-3 for x in rows[3000:3050])
+
+
 def test_toxicity_on_held_out_labels(shared):
     spark = shared
     names = ["idiot", "clown", "moron"]
