@@ -35,7 +35,7 @@ class Automaton:
     one of the vocabulary: node 0 is then the state after it, and a word is cut as START and the word are, all pieces fitting anywhere.
     """
 
-    def __init__(self, pieces: list[str], alone: bool = False) -> None:
+    def __init__(self, pieces: list[str], alone: bool = True) -> None:
         self.edges: list[dict[str, int]] = [{}, {}]
         if alone:
             self.edges[1][START] = 0
@@ -93,11 +93,11 @@ class Automaton:
         return n
 
 
-def count_pieces(docs: DataFrame, pieces: list[str], text: str = "text", keep: list[str] | None = None, memo: int = MEMO, alone: bool = False) -> DataFrame:
+def count_pieces(docs: DataFrame, pieces: list[str], text: str = "text", keep: list[str] | None = None, memo: int = MEMO, alone: bool = True) -> DataFrame:
     """docs with n_words, n_unknown and n_tokens: the pieces of all words, unknown words as one each.
 
     Words are what white space divides. A null or empty text has none. Rows repeat as they are; columns of docs with
-    these names are replaced. alone: START may be a word's first piece by itself, as in the vocabulary's own cut.
+    these names are replaced; an empty table stays empty. alone: START may be a word's first piece by itself, as in the vocabulary's own cut.
     """
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
