@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Headings of the report, and the signs of its matrix.
+TITLE, BRIDGES, SYNONYMS, COVERAGE, PATHS = "# Cross-Corpus Connections", "## Bridge Concepts", "## Candidate Synonyms", "## Thematic Coverage Map", "## Cross-Corpus Reading Paths"
+COVERED, NOT_COVERED = "●", "○"
+
 
 def latest_nodes(nodes: DataFrame) -> DataFrame:
     """One node for each corpus and slug: the last one's fields at the first one's place."""
@@ -67,7 +71,7 @@ def theme_matrix(root_nodes: DataFrame, root_edges: DataFrame, corpora: list[str
     node = root_nodes.select(F.col("slug").alias("to"), "corpus")
     covered = root_edges.where("predicate = 'covers'").join(node, "to").select(F.col("from").alias("theme"), "corpus")
     flags = themes.join(covered, "theme", "left").groupBy("theme", "title").agg(*[F.max(F.col("corpus") == c).alias(c) for c in corpora])
-    return flags.select("theme", "title", *[F.when(F.coalesce(F.col(f"`{c}`"), F.lit(False)), "●").otherwise("○").alias(c) for c in corpora])
+    return flags.select("theme", "title", *[F.when(F.coalesce(F.col(f"`{c}`"), F.lit(False)), COVERED).otherwise(NOT_COVERED).alias(c) for c in corpora])
 
 
 def synonym_lines(root_nodes: DataFrame, root_edges: DataFrame) -> DataFrame:
@@ -88,7 +92,7 @@ def connections_report(nodes: DataFrame, edges: DataFrame, root: tuple[DataFrame
     root_nodes_, root_edges_ = root
     corpora = [r.corpus for r in nodes.select("corpus").distinct().collect()]
     listed = [c for c in order if c in corpora]
-    lines = [f"> Generated {today} from `graph.json`.", "", "# Cross-Corpus Connections", "", "## Bridge Concepts", ""]
+    lines = [f"> Generated {today} from `graph.json`.", "", TITLE, "", BRIDGES, ""]
     groups = bridge_groups(root_nodes_, root_edges_)
     sample = F.coalesce(F.get(F.filter(F.array(*[F.lit(c) for c in order]), lambda c: F.array_contains("corpora", c)), F.lit(0)), F.get("corpora", F.lit(0)))
     titled = groups.withColumn("corpus", sample).join(nodes.select("corpus", "slug", "title"), ["corpus", "slug"], "left")
@@ -100,14 +104,13 @@ def connections_report(nodes: DataFrame, edges: DataFrame, root: tuple[DataFrame
             lines += [f"**[{c}]({c}/README.md)** —" + (f" Connects to: {r.hints[c]}." if r.hints[c] else ""), ""]
     rows = [r.line for r in synonym_lines(root_nodes_, root_edges_).orderBy("rank").toLocalIterator()]
     if rows:
-        lines += ["---", "", "## Candidate Synonyms", "", *rows, ""]
+        lines += ["---", "", SYNONYMS, "", *rows, ""]
     matrix = theme_matrix(root_nodes_, root_edges_, listed).orderBy("theme").collect()
     if matrix:
-        lines += ["---", "", "## Thematic Coverage Map", "", "| Theme | " + " | ".join(listed) + " |", "|---|" + "|".join(["---"] * len(listed)) + "|"]
+        lines += ["---", "", COVERAGE, "", "| Theme | " + " | ".join(listed) + " |", "|---|" + "|".join(["---"] * len(listed)) + "|"]
         lines += [f"| {r.title} | " + " | ".join(r[c] for c in listed) + " |" for r in matrix] + [""]
-    marker = "## Cross-Corpus Reading Paths"
-    if marker in previous:
-        lines += ["---", "", previous[previous.index(marker) :]]
+    if PATHS in previous:
+        lines += ["---", "", previous[previous.index(PATHS) :]]
     return "\n".join(lines)
 
 
