@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomery.functions import text as t
-from loomery.operators import audit, book, html, latex, media, pdf, reconcile, validate, web
+from loomery.operators import audit, book, html, latex, media, merge, pdf, reconcile, validate, web
 from loomery.operators.predicates import parse_predicates
 from loomery.plans import derived as d
 from loomery.queries import AUDIT, CORPORA, TOC, VAULT, query
@@ -60,6 +60,14 @@ def page_names(spark, sf_dir):
     return rows.select("k", t.slug_tikz(F.when(F.col("k") % 4 != 0, F.col("brand")), F.col("k") % 1000).alias("tikz"), t.title_of_slug(text(["concept-"], "k", ["-of"])).alias("title"), t.slug_title(F.col("name")).alias("slug"))
 
 
+@query(PARTS + r""", x as (select k, array_to_string(string_split(lower(name), ' ')[1:8], '-') || case when k % 10 = 0 then '-3' else '' end as slug from p), r as (select *, row_number() over (partition by slug order by k) as r from x),
+u as (select regexp_extract(slug, '^(.*)-(\d+)$', 1) as stem, max(cast(regexp_extract(slug, '^(.*)-(\d+)$', 2) as bigint)) as most from x where regexp_matches(slug, '-\d+$') group by stem)
+select k as seq, case when r = 1 then slug else slug || '-' || greatest(coalesce(most, 1), 1) + r - 1 end as slug from r left join u on u.stem = slug""")
+def title_slugs(spark, sf_dir):
+    rows = _parts(spark, sf_dir).select(F.col("k").alias("seq"), F.concat("name", F.when(F.col("k") % 10 == 0, " 3").otherwise("")).alias("title"))
+    return merge.page_slugs(rows)
+
+
 @query(PARTS + r""", x as (select k, unnest([name, 'x_' || size, size || ' + y', ' ' || brand || '  ', 'a the', 'is', '', size || '=' || size, name || ' \alpha']) as s from p)
 select distinct s, trim(s) <> '' and ((length(trim(s)) <= 8 and not regexp_matches(trim(s), '\s\s|\bthat\b|\bthe\b|\band\b|\bis\b')) or regexp_matches(trim(s), '[\\_^{}]') or (length(trim(s)) <= 30 and regexp_matches(trim(s), '[=+\-*/<>]') and regexp_matches(trim(s), '[a-zA-Z]'))) as math from x""")
 def math_rules(spark, sf_dir):
@@ -382,17 +390,34 @@ def tex_mains(spark, sf_dir):
 
 
 @query(PARTS + r""", one as (select *, '\section{One of ' || name || '}' || chr(10) || 'Inner' || chr(10) || 'Deep ' || chr(10) as "inner" from p)
-select k as bundle_id, 0 as ord, 'sections/00-front-matter.tex' as file, 'front-matter' as title_hint, case when k % 2 = 0 then 'Hello' else 'Head' end as content from one
-union all select k, 1, 'sections/01-one-of-' || regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g') || '.tex', left('One of ' || name, 80), "inner" from one where k % 2 = 0
-union all select k, 1, 'sections/01-first-' || regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g') || '.tex', 'First ' || name, '\section{First ' || name || '}' || chr(10) || 'A ' || chr(10) from one where k % 2 = 1
-union all select k, 2, 'sections/02-interlude-1.tex', 'interlude-1', 'Between' from one where k % 2 = 0 union all select k, 3, 'sections/03-two.tex', 'two', 'No title here' from one where k % 2 = 0
-union all select k, 4, 'sections/04-unresolved-2.tex', 'unresolved-2', '\input{gone}' from one where k % 2 = 0 union all select k, 5, 'sections/05-tail-3.tex', 'tail-3', 'Bye' from one where k % 2 = 0
-union all select k, 2, 'sections/02-one-of-' || regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g') || '.tex', 'One of ' || name, "inner" from one where k % 2 = 1
-union all select k, 3, 'sections/03-second.tex', 'Second', chr(10) || '\section*{Second}' || chr(10) || 'B 5\% of' || chr(10) from one where k % 2 = 1""")
+select k as bundle_id, 0 as ord, 'sections/01_front-matter.tex' as file, 'front-matter' as title_hint, case when k % 2 = 0 then 'Hello' else 'Head' end as content from one
+union all select k, 1, 'sections/02_one-of-' || regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g') || '.tex', left('One of ' || name, 80), "inner" from one where k % 2 = 0
+union all select k, 1, 'sections/02_first-' || regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g') || '.tex', 'First ' || name, '\section{First ' || name || '}' || chr(10) || 'A ' || chr(10) from one where k % 2 = 1
+union all select k, 2, 'sections/03_interlude-1.tex', 'interlude-1', 'Between' from one where k % 2 = 0 union all select k, 3, 'sections/04_two.tex', 'two', 'No title here' from one where k % 2 = 0
+union all select k, 4, 'sections/05_unresolved-2.tex', 'unresolved-2', '\input{gone}' from one where k % 2 = 0 union all select k, 5, 'sections/06_tail-3.tex', 'tail-3', 'Bye' from one where k % 2 = 0
+union all select k, 2, 'sections/03_one-of-' || regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g') || '.tex', 'One of ' || name, "inner" from one where k % 2 = 1
+union all select k, 3, 'sections/04_second.tex', 'Second', chr(10) || '\section*{Second}' || chr(10) || 'B 5\% of' || chr(10) from one where k % 2 = 1""")
 def tex_parts(spark, sf_dir):
     return latex.tex_sections(_papers(spark, sf_dir)).select("bundle_id", "ord", "file", "title_hint", "content")
 
 
+@query(PARTS + r"""select k as bundle_id, 'raw/preamble.tex' as path, '\documentclass{a}' || chr(10) as text from p
+union all select k, 'raw/refs.bib', 'second' from p union all select k, 'raw/figures.json', '{"figures":[],"stats":{"total":0,"with_image":0,"tikz_only":0,"missing":0}}' from p
+union all select k, 'raw/sections/01_front-matter.tex', case when k % 2 = 0 then 'Hello' else 'Head' end || chr(10) from p
+union all select k, 'raw/structure.json', '{"arxiv_id":"1234.' || k || '","version":null,"main_tex":"' || case when k % 3 = 0 then 'paper.tex' else 'ms.tex' end || '","sections":[{"file":"sections/01_front-matter.tex","title_hint":"front-matter"},{"file":"sections/02_' || regexp_replace(lower(case when k % 2 = 0 then 'one of ' else 'first ' end || name), '[^a-z0-9]+', '-', 'g') || '.tex","title_hint":"' || case when k % 2 = 0 then 'One of ' else 'First ' end || name || '"},'
+|| case when k % 2 = 0 then '{"file":"sections/03_interlude-1.tex","title_hint":"interlude-1"},{"file":"sections/04_two.tex","title_hint":"two"},{"file":"sections/05_unresolved-2.tex","title_hint":"unresolved-2"},{"file":"sections/06_tail-3.tex","title_hint":"tail-3"}],"warnings":["cyclic include skipped: sections/one.tex","unresolved include: gone"]}'
+else '{"file":"sections/03_one-of-' || regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g') || '.tex","title_hint":"One of ' || name || '"},{"file":"sections/04_second.tex","title_hint":"Second"}],"warnings":["cyclic include skipped: sections/one.tex"]}' end from p""")
+def paper_files(spark, sf_dir):
+    """Without the sections after the first, which tex_parts shows."""
+    files = _papers(spark, sf_dir)
+    papers = _parts(spark, sf_dir).select(F.col("k").alias("bundle_id"), text(["1234."], "k").alias("arxiv_id"), lit(None).cast("string").alias("version"))
+    bib = papers.select("bundle_id", F.explode(F.map_from_arrays(F.array(lit("a/refs.bib"), lit("b/refs.bib")), F.array(lit("first"), lit("second")))).alias("file", "text"))
+    sections = latex.tex_sections(files)
+    none = latex.copied_names(files).limit(0)
+    made = latex.paper_bundle(papers, files.unionByName(bib), sections, latex.tex_figures(sections, none))
+    return made.where(~F.col("path").rlike("raw/sections/0[2-9]"))
+
+
 @query(PARTS + r"""select k, '\input sections/' || k as unhandled, 'Deep ' || name as title, 'a/b' || k || ',c,d' as targets, '\documentclass{a}' as preamble, case when k % 2 = 0 then ' one \end{document} two ' end as body from p""")
 def tex_scalars(spark, sf_dir):
     tex = F.concat(lit("\\documentclass{a}\\begin{document} one \\end{document} two "), F.when(F.col("k") % 2 == 0, "\\end{document} end").otherwise(""))

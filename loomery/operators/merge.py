@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomery.functions import text as t
+
 POLICIES = ("skip", "replace", "rename")
 
 
@@ -132,3 +134,14 @@ def strongest_predicate(edges: DataFrame, strength: list[str]) -> DataFrame:
     """from, to, predicate: of several edges between two nodes the predicate that stands first in strength; others last, by name."""
     place = F.array_position(F.array(*[F.lit(x) for x in strength]), F.col("predicate"))
     return edges.groupBy("from", "to").agg(F.min(F.struct(F.when(place == 0, len(strength) + 1).otherwise(place).alias("p"), "predicate")).alias("m")).select("from", "to", "m.predicate")
+
+
+def page_slugs(pages: DataFrame) -> DataFrame:
+    """seq, slug of pages (seq, title): the slug of the title's first eight words; of equal ones the first keeps it, the others get numbers that no slug has."""
+    own = pages.select("seq", t.slug_title(F.col("title")).alias("slug"))
+    stem = lambda k: F.regexp_extract("slug", r"^(.*)-(\d{1,9})$", k)
+    used = own.select(stem(1).alias("stem"), stem(2).alias("n")).where("n != ''").groupBy("stem").agg(F.max(F.col("n").cast("long")).alias("most"))
+    place = F.row_number().over(Window.partitionBy("slug").orderBy("seq"))
+    numbered = own.withColumn("r", place).join(used, F.col("slug") == F.col("stem"), "left")
+    number = F.greatest(F.coalesce("most", F.lit(1)), F.lit(1)) + F.col("r") - 1
+    return numbered.select("seq", F.when(F.col("r") == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), number.cast("string"))).alias("slug"))
