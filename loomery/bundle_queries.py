@@ -263,7 +263,7 @@ def section_choice(spark, sf_dir):
     return book.resolve_sections(ranges, made).select("sel", "idx", "title", "physical_start", "physical_end", "rank")
 
 
-@query(PARTS + """select k, size as first, case when k % 3 = 0 then size else size + k % 7 end as last, case when k % 2 = 0 then size when k % 5 <> 0 then size + 13 else 900 + k end as start from p""")
+@query(PARTS + """select k, cast(size as bigint) as first, cast(case when k % 3 = 0 then size else size + k % 7 end as bigint) as last, cast(case when k % 2 = 0 then size when k % 5 <> 0 then size + 13 else 900 + k end as bigint) as start from p""")
 def range_choice(spark, sf_dir):
     k = F.col("k")
     spec = book.parse_range(F.when(k % 3 == 0, F.col("size").cast("string")).otherwise(text("size", ["-"], F.col("size") + k % 7)))
