@@ -127,25 +127,27 @@ def synonym_candidates(nodes: DataFrame, edges: DataFrame, distance: int = 2, ov
     """a, b, reason: concepts of different slugs and corpora with titles of up to `distance` (1 or 2) edits, or with shared edge targets.
 
     Distinct titles that are so near share a text with up to `distance` letters left out: they meet by such texts, and the edit
-    distance is verified. Targets meet by shared neighbours. Both are equi-joins.
+    distance is verified where they meet. Targets meet by shared neighbours. Both are equi-joins, merged: an estimate of what is
+    exploded is far too low, and a broadcast of it more than a driver holds.
     """
     concept = nodes.where("type = 'concept'").select("corpus", "slug", F.lower(F.coalesce("title", "slug")).alias("title"))
     titles = concept.select("title").distinct()
-    keys = titles.select("title", F.explode(_deletions(F.col("title"), distance)).alias("k"))
-    met = keys.select(F.col("title").alias("ta"), "k").join(keys.select(F.col("title").alias("tb"), "k"), "k").select("ta", "tb").distinct()
-    alike_titles = met.where(F.levenshtein("ta", "tb") <= distance)
+    keys = titles.select("title", F.explode(_deletions(F.col("title"), distance)).alias("k")).select("title", F.xxhash64("k").alias("k"))
+    met = keys.toDF("ta", "k").hint("merge").join(keys.toDF("tb", "k"), "k").where((F.col("ta") < F.col("tb")) & (F.levenshtein("ta", "tb", distance) >= 0)).select("ta", "tb").distinct()
+    both_ways = F.explode(F.array(F.struct(F.col("ta"), F.col("tb")), F.struct(F.col("tb").alias("ta"), F.col("ta").alias("tb"))))
+    alike_titles = met.select(both_ways.alias("x")).select("x.*").unionByName(titles.select(F.col("title").alias("ta"), F.col("title").alias("tb")))
     name = F.concat("corpus", F.lit("/"), "slug")
     side = lambda s: concept.select(name.alias(s), F.col("corpus").alias(f"c{s}"), F.col("slug").alias(f"s{s}"), F.col("title").alias(f"t{s}"))
-    near = alike_titles.join(side("a"), "ta").join(side("b"), "tb").where((F.col("ca") < F.col("cb")) & (F.col("sa") != F.col("sb")))
-    out = edges.groupBy("corpus", F.col("from").alias("slug")).agg(F.collect_set("to").alias("targets")).join(concept, ["corpus", "slug"], "left_semi").withColumn("n", F.size("targets"))
+    near = alike_titles.hint("merge").join(side("a"), "ta").hint("merge").join(side("b"), "tb").where((F.col("ca") < F.col("cb")) & (F.col("sa") != F.col("sb")))
+    out = edges.groupBy("corpus", F.col("from").alias("slug")).agg(F.collect_set("to").alias("targets")).hint("merge").join(concept, ["corpus", "slug"], "left_semi").withColumn("n", F.size("targets"))
     long = out.select("corpus", "slug", "n", F.explode("targets").alias("t"))
     # sets that share so much share one of each other's rarest targets: a popular target brings nodes together only if they have no rarer one
     rarity = long.groupBy("t").agg(F.count("*").alias("df"))
     rarest = F.slice(F.array_sort(F.collect_list(F.struct("df", "t"))), F.lit(1), F.first("n") - F.ceil(F.first("n") * overlap).cast("int") + 1)
-    index = long.join(rarity, "t").groupBy("corpus", "slug").agg(F.first("n").alias("n"), rarest.alias("r")).select("corpus", "slug", "n", F.explode("r.t").alias("t"))
-    met = index.toDF("ca", "sa", "na", "t").join(index.toDF("cb", "sb", "nb", "t"), "t").where((F.col("ca") < F.col("cb")) & (F.col("sa") != F.col("sb")) & (F.least("na", "nb") >= F.lit(overlap) * F.greatest("na", "nb"))).select("ca", "sa", "cb", "sb").distinct()
+    index = long.hint("merge").join(rarity, "t").groupBy("corpus", "slug").agg(F.first("n").alias("n"), rarest.alias("r")).select("corpus", "slug", "n", F.explode("r.t").alias("t"))
+    met = index.toDF("ca", "sa", "na", "t").hint("merge").join(index.toDF("cb", "sb", "nb", "t"), "t").where((F.col("ca") < F.col("cb")) & (F.col("sa") != F.col("sb")) & (F.least("na", "nb") >= F.lit(overlap) * F.greatest("na", "nb"))).select("ca", "sa", "cb", "sb").distinct()
     sets = out.select("corpus", "slug", "targets")
-    shared = met.join(sets.toDF("ca", "sa", "ta"), ["ca", "sa"]).join(sets.toDF("cb", "sb", "tb"), ["cb", "sb"]).withColumn("k", F.size(F.array_intersect("ta", "tb")))
+    shared = met.hint("merge").join(sets.toDF("ca", "sa", "ta"), ["ca", "sa"]).hint("merge").join(sets.toDF("cb", "sb", "tb"), ["cb", "sb"]).withColumn("k", F.size(F.array_intersect("ta", "tb")))
     alike = shared.where(F.col("k") / (F.size("ta") + F.size("tb") - F.col("k")) >= overlap)
     both = near.select("a", "b", F.lit("title").alias("reason")).unionByName(alike.select(F.concat("ca", F.lit("/"), "sa").alias("a"), F.concat("cb", F.lit("/"), "sb").alias("b"), F.lit("targets").alias("reason")))
     return both.groupBy("a", "b").agg(F.array_join(F.array_sort(F.collect_set("reason")), "+").alias("reason"))

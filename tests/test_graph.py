@@ -127,3 +127,24 @@ def test_reconcile(spark):
     report = reconcile.connections_report(latest, out, (nodes_, edges_), ["x", "y"], "old\n## Cross-Corpus Reading Paths\nkeep", "today")
     assert "**[x](x/README.md)** — Connects to: d." in report and "| T | ● | ○ |" in report and report.endswith("## Cross-Corpus Reading Paths\nkeep")
     assert "### C2" in report
+
+
+def test_synonyms_broadcast_nothing_that_grows(spark, tmp_path):
+    made = spark.createDataFrame([(c, f"{c}{i}", t, "concept") for c in "xy" for i, t in enumerate(["", "a", "abc", "abcd", "acbd", "bacde", "abcd"])], "corpus string, slug string, title string, type string")
+    made.write.parquet(f"{tmp_path}/nodes")
+    nodes = spark.read.parquet(f"{tmp_path}/nodes")
+    edges = nodes.selectExpr("corpus", "slug as `from`", "slug as `to`")
+    found = reconcile.synonym_candidates(nodes, edges)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = [(r.corpus, r.slug, r.title) for r in nodes.collect()]
+
+    def distance(a, b):
+        last = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            now = [i]
+            for j, y in enumerate(b, 1):
+                now.append(min(last[j] + 1, now[-1] + 1, last[j - 1] + (x != y)))
+            last = now
+        return last[-1]
+
+    assert sorted((r.a, r.b) for r in found.collect()) == sorted((f"{c}/{s}", f"{d}/{u}") for c, s, t in rows for d, u, v in rows if c < d and distance(t, v) <= 2)
