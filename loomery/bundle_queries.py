@@ -661,5 +661,7 @@ def _blobs(rows):
 
 @query(PARTS + "select k as bundle_id, 'main.tex' as file, 'text of ' || name as text from p union all select k, 'img/a.txt', 'a' from p where k % 3 = 2")
 def source_archives(spark, sf_dir):
-    blobs = _parts(spark, sf_dir).select("k", "name").mapInPandas(_blobs, "bundle_id long, content binary")
+    """The table of parts is small, so a file of it may be one task; what it makes for each part isn't."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blobs = _parts(spark, sf_dir).select("k", "name").repartition(n, "k").mapInPandas(_blobs, "bundle_id long, content binary")
     return sources.unpack_sources(blobs).select("bundle_id", "file", "text")

@@ -7,9 +7,10 @@ import io
 import tarfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomery.functions import text as t
 from loomery.operators.predicates import parse_predicates
@@ -18,6 +19,10 @@ GRAPH = "nodes array<struct<slug:string,title:string,type:string>>, edges array<
 ATOM = "entry struct<title:string,summary:string,id:string,author:array<struct<name:string>>,category:array<struct<_term:string>>,primary_category:struct<_term:string>>"
 
 
+#: Bytes of unpacked files after which a batch of rows goes out.
+BATCH = 1 << 24
+
+
 class MissingInput(FileNotFoundError):
     """A vault lacks its pages, graph or schema."""
 
@@ -100,14 +105,26 @@ def unpack_sources(blobs: DataFrame) -> DataFrame:
         except tarfile.TarError:
             yield "main.tex", raw
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, blob in zip(batch["bundle_id"], batch["content"], strict=True):
-                rows = [(key, name, data.decode("utf-8", "replace"), data) for name, data in files(bytes(blob))]
-                yield pd.DataFrame(rows, columns=["bundle_id", "file", "text", "content"])
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    kind = blobs.schema["bundle_id"].dataType.simpleString()
-    return blobs.select("bundle_id", "content").where("content is not null").mapInPandas(run, f"bundle_id {kind}, file string, text string, content binary")
+    schema = T.StructType([T.StructField("bundle_id", blobs.schema["bundle_id"].dataType), *T._parse_datatype_string("file string, text string, content binary").fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+        rows, size = [], 0
+        for batch in batches:
+            for key, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for name, data in files(blob.as_py()):
+                    rows.append((key, name, data.decode("utf-8", "replace"), data))
+                    size += len(data) + 100
+                    if size > BATCH:
+                        yield out(rows)
+                        rows, size = [], 0
+        if rows:
+            yield out(rows)
+
+    return blobs.select("bundle_id", "content").where("content is not null").mapInArrow(run, schema)
 
 
 def not_ingested(bundles: DataFrame, done: DataFrame, key: str = "bundle_id") -> DataFrame:

@@ -88,3 +88,13 @@ def test_upsert_batches(spark, tmp_path):
         run(spark.createDataFrame([("p", "z")], edges.schema), 0)
     assert {tuple(r) for r in spark.read.parquet(a).collect()} == {("p", "z"), ("q", "y")}
     assert default_predicates(spark).count() == 16
+
+
+def test_archives_of_a_small_table_are_many_tasks(spark, tmp_path):
+    import loomery.bundle_queries  # noqa: F401
+    from loomery.queries import QUERIES
+
+    spark.sql("select id as p_partkey, concat('n', id) as p_name, 'b' as p_brand, 1 as p_size from range(30)").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    made = QUERIES["source_archives"](spark, str(tmp_path))
+    assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted((r.bundle_id, r.file, r.text) for r in made.collect()) == sorted([(k, "main.tex", f"text of n{k}") for k in range(30)] + [(k, "img/a.txt", "a") for k in range(2, 30, 3)])
