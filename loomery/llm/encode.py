@@ -39,11 +39,13 @@ _NEW = re.compile(f"[{_unassigned()}]")
 _LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
 #: The byte-level alphabet: bytes that print stand for themselves, the others for the letters from U+0100 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+_BYTES = [chr(b) if b in _PRINTED else chr(256 + sum(x not in _PRINTED for x in range(b))) for b in range(256)]
 #: Signs that end a word's letters for certain.
 _TAIL = ",.;:!?%&*$#|)"
 #: Words that each of the memo's two generations holds, letters of the longest one, and other chunks that are kept.
 MEMO, WORD, SIGNS = 200_000, 40, 30_000
+#: Letters of the longest words with other signs that are kept whole among the chunks.
+SHORT = 3
 #: Marks of words that were seen once, less one.
 DOOR = (1 << 20) - 1
 
@@ -56,7 +58,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenize = self.tokenizer.model.tokenize
+        model = self.tokenizer.model
+        if hasattr(model, "_resize_cache"):
+            model._resize_cache(0)  # its own memo of the first 10,000 words costs more than it spares behind these
+        self.tokenize = model.tokenize
         self.bare = self.tokenizer.normalizer is not None
         self.pattern = _BARE if self.bare else _SPACED
         # two generations: what is used stays, what isn't is forgotten when the newer one is full
@@ -81,7 +86,7 @@ class Encoder:
         if letters.isascii() and letters.isalpha():
             x = letters.lower() if self.bare else f"\u0120{letters}" if spaced else letters
         elif _LATIN.fullmatch(letters):
-            x = (letters.lower() if self.bare else chunk).encode().decode("latin-1").translate(_BYTES)
+            x = "".join([_BYTES[b] for b in (letters.lower() if self.bare else chunk).encode()])
         else:
             return self._whole(chunk)
         return array("I", [t.id for t in self.tokenize(x)]).tobytes()
@@ -101,20 +106,17 @@ class Encoder:
             return self._whole(word)
         return b"".join(map(self._sign, self.pattern.findall(word)))
 
-    def _word(self, word: str) -> bytes:
-        """The ids of a word that stands after a single space; words of letters alone are kept."""
+    def _kept(self, word: str) -> bytes:
+        """The ids of a word of letters alone that stands after a single space."""
         found = self.words.get(word)
         if found is not None:
             return found
-        if not word.isalpha():
-            core = word.rstrip(_TAIL)
-            if core.isalpha():
-                tail = word[len(core) :]
-                return (self.words.get(core) or self._word(core)) + (self.signs.get(tail) or self._sign(tail))
-            return self._chunks(word if self.bare else f" {word}")
         found = self.old.get(word)
         if found is None:
-            found = self._merged(word if self.bare else f" {word}")
+            if word.isascii():
+                found = array("I", [t.id for t in self.tokenize(word.lower() if self.bare else "\u0120" + word)]).tobytes()
+            else:
+                found = self._merged(word if self.bare else f" {word}")
             door = hash(word) & DOOR  # a word is kept from the second time on: most occur once
             if not self.seen[door]:
                 self.seen[door] = 1
@@ -126,6 +128,20 @@ class Encoder:
             self.words[word] = found
         return found
 
+    def _word(self, word: str) -> bytes:
+        """The ids of a word that stands after a single space and has other signs than letters."""
+        core = word.rstrip(_TAIL)
+        if core.isalpha():
+            tail = word[len(core) :]
+            return self._kept(core) + (self.signs.get(tail) or self._sign(tail))
+        chunk = word if self.bare else f" {word}"
+        found = self.signs.get(chunk)
+        if found is None:
+            found = self._chunks(chunk)
+            if len(word) <= SHORT and len(self.signs) <= SIGNS:
+                self.signs[chunk] = found
+        return found
+
     def _text(self, text: str) -> bytes:
         if not self._plain(text):
             return self._whole(text)
@@ -137,11 +153,14 @@ class Encoder:
                 return self._whole(text)
             words = words[1:]
         out = list(map(self.words.get, words))
-        at, find, bare, ids = -1, out.index, self.bare, self._word
+        at, find, bare, kept, ids = -1, out.index, self.bare, self._kept, self._word
         try:
             while True:
                 at = find(None, at + 1)
                 word = words[at]
+                if word.isalpha():
+                    out[at] = kept(word)
+                    continue
                 if not bare and (not word or word[0].isspace() or word[-1].isspace()):
                     return self._whole(text)
                 out[at] = ids(word)

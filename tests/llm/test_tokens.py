@@ -183,3 +183,15 @@ def test_words_of_rare_first_letters(shared, monkeypatch):
     monkeypatch.setattr(queries, "table", lambda *_: shared.createDataFrame([(i, w) for i, w in enumerate(words)], "doc_id long, text string"))
     got = {r.doc_id: (r.n_words, r.n_unknown, r.n_tokens) for r in queries.op6_token_counts(shared, "").collect()}
     assert got == {i: (1, 0, greedy_from_start(w, held)) for i, w in enumerate(words)}
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_short_signs_are_merged_once(name, monkeypatch):
+    import public_tokenizers
+    from loomery.llm.encode import Encoder
+
+    e, cut = Encoder(public_tokenizers.path(name)), []
+    monkeypatch.setattr(e, "_chunks", lambda word, f=e._chunks: cut.append(word) or f(word))
+    text = "word | word, | word. +1 | Été! +1 été | |"
+    assert e.ids([text, text]) == [e._whole(text)] * 2
+    assert sum(w.strip() == "|" for w in cut) == 1 and sum(w.strip() == "+1" for w in cut) == 1
